@@ -61,6 +61,7 @@ def tables() -> dict[str, np.ndarray]:
     ccc = np.zeros(_LIMIT, np.uint8)
     long: dict[int, list[int]] = {}
     pairs: dict[int, int] = {}
+    apart: dict[int, list[int]] = {}
     for cp in range(_LIMIT):
         if 0xD800 <= cp < 0xE000:
             continue
@@ -86,6 +87,7 @@ def tables() -> dict[str, np.ndarray]:
             else:
                 long[cp] = to
         elif deco and deco[0] != "<":
+            apart[cp] = [ord(c) for c in unicodedata.normalize("NFD", ch)]
             two = [int(x, 16) for x in deco.split()]
             if len(two) == 2 and unicodedata.normalize("NFC", ch) == ch and max(two) < _LIMIT:
                 pairs[two[0] << 21 | two[1]] = cp
@@ -96,12 +98,17 @@ def tables() -> dict[str, np.ndarray]:
         length[cp], long_at[cp] = len(to), len(flat)
         flat += to
     length[action == _DROP] = 0
+    apart_length, apart_at, apart_flat = np.ones(_LIMIT, np.int64), np.zeros(_LIMIT, np.int64), []
+    for cp, to in apart.items():
+        apart_length[cp], apart_at[cp] = len(to), len(apart_flat)
+        apart_flat += to
     look = np.zeros(_LIMIT, np.uint32)
     for a, b in LOOKALIKES.items():
         look[ord(a)] = ord(b)
     keys = np.array(sorted(pairs), np.int64)
     return {
         "action": action, "single": single, "kind": kind, "ccc": ccc, "length": length, "long_at": long_at,
+        "apart_length": apart_length, "apart_at": apart_at, "apart_flat": np.array(apart_flat, np.uint32),
         "flat": np.array(flat or [0], np.uint32), "look": look, "pair_key": keys,
         "pair_to": np.array([pairs[int(k)] for k in keys], np.uint32),
     }
@@ -179,24 +186,37 @@ def _compose(points: np.ndarray, row: np.ndarray, t: dict[str, np.ndarray]) -> t
     ccc = t["ccc"][low]
     if not ccc.any():
         return points, row, np.zeros(0, np.int64)
+    # a composed letter before a mark comes apart first, so that all marks stand in canonical order
+    before = np.concatenate([(ccc[1:] > 0) & (row[1:] == row[:-1]), [False]])
+    size = np.where(before, t["apart_length"][low], 1)
+    if (size > 1).any():
+        at = np.repeat(np.arange(len(points)), size)
+        within = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+        grown = size[at] > 1
+        points, row = points[at], row[at]
+        points[grown] = t["apart_flat"][t["apart_at"][low[at[grown]]] + within[grown]]
+        ccc = t["ccc"][np.minimum(points, _LIMIT - 1)]
     if ((ccc[1:] > 0) & (ccc[:-1] > 0)).any():  # canonical order within each cluster
         cluster = np.cumsum((ccc == 0) | np.concatenate([[True], row[1:] != row[:-1]]))
         order = np.lexsort((np.arange(len(points)), ccc, cluster))
         points, row, ccc = points[order], row[order], ccc[order]
     while True:
+        base = np.maximum.accumulate(np.where(ccc == 0, np.arange(len(ccc)), -1))
         mark = np.flatnonzero(ccc > 0)
-        mark = mark[mark > 0]
-        mark = mark[(row[mark] == row[mark - 1]) & (ccc[mark - 1] == 0)]
+        mark = mark[(mark > 0) & (base[mark] >= 0)]
+        mark = mark[(row[mark] == row[base[mark]]) & ((base[mark] == mark - 1) | (ccc[mark - 1] < ccc[mark]))]
         if not len(mark):
             break
-        key = points[mark - 1].astype(np.int64) << 21 | points[mark]
+        key = points[base[mark]].astype(np.int64) << 21 | points[mark]
         where = np.minimum(np.searchsorted(t["pair_key"], key), len(t["pair_key"]) - 1)
         joins = t["pair_key"][where] == key
         if not joins.any():
             break
         mark, where = mark[joins], where[joins]
+        _, first = np.unique(base[mark], return_index=True)  # one mark for each letter and turn
+        mark, where = mark[first], where[first]
         points = points.copy()
-        points[mark - 1] = t["pair_to"][where]
+        points[base[mark]] = t["pair_to"][where]
         hit.append(row[mark])
         keep = np.ones(len(points), bool)
         keep[mark] = False

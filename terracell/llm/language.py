@@ -215,15 +215,18 @@ def train(texts: list[str], labels: list[str], rounds: int = 3) -> np.ndarray:
 
 
 def training_sample(df: DataFrame, ident: str, text: str, label: str, documents: int = SAMPLE_DOCUMENTS) -> tuple[list[str], list[str]]:
-    """At most ``documents`` labelled texts, those of least hash of their id: a bounded, fixed sample."""
-    rows = (
-        df.select(F.xxhash64(df[ident]).alias("turn"), df[ident].alias("id"), df[text].cast("string").alias("text"), named_language(df[label]).alias("named"))
-        .where(F.col("named").isNotNull() & (F.length("text") > 0))
-        .orderBy("turn", "id")
-        .limit(documents)
-        .collect()
-    )
-    return [r.text for r in rows], [r.named for r in rows]
+    """At most ``documents`` labelled texts, those of least hash of their id: a bounded, fixed sample.
+
+    The labelled texts are counted first; then only rows under a hash limit that lets
+    about half as many again through are sorted, so no task sends more than its share.
+    """
+    rows = df.select(F.xxhash64(df[ident]).alias("turn"), df[ident].alias("id"), df[text].cast("string").alias("text"), named_language(df[label]).alias("named"))
+    rows = rows.where(F.col("named").isNotNull() & (F.length("text") > 0))
+    share = min(1.0, (1.5 * documents + 500) / max(1, rows.count()))
+    if share < 1.0:
+        rows = rows.where(F.col("turn") < int(-(2**63) + share * 2**64))
+    taken = rows.orderBy("turn", "id").limit(documents).collect()
+    return [r.text for r in taken], [r.named for r in taken]
 
 
 _SEGMENT = "segment int, begins bigint, characters bigint, letters bigint, sentences int, lang string, confidence double"

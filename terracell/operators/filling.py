@@ -6,6 +6,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from terracell.functions.textform import canonical
 
@@ -18,7 +19,7 @@ STAND_INS = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type, not its name, which would need a session at import
 def _form(values: pd.Series) -> pd.Series:
     return pd.Series(canonical(pa.array(values, pa.string()))[0].to_pylist(), dtype=object)
 

@@ -44,6 +44,20 @@ def sql_curve(x: str, c: curves.Curve) -> str:
     return "CASE " + " ".join(out) + f" ELSE {'NULL' if c.missing is None else str(c.missing) + '::DOUBLE'} END"
 
 
+def _sql_near(value: str) -> str:
+    """The nine values around each cell, the border repeated."""
+    row = "PARTITION BY iy ORDER BY ix"
+    inner = f"SELECT ix, iy, {value} AS c, coalesce(lag({value}) OVER ({row}), {value}) AS w, coalesce(lead({value}) OVER ({row}), {value}) AS e FROM grid"
+    beside = ", ".join(f"coalesce({f}({v}) OVER k, {v}) AS {side}{v if v != 'c' else ''}" for f, side in (("lag", "n"), ("lead", "s")) for v in "wce")
+    return f"SELECT ix, iy, c, w, e, {beside} FROM ({inner}) WINDOW k AS (PARTITION BY ix ORDER BY iy)"
+
+
+def _sql_box(a: str, n: str, r: int) -> str:
+    """FROM clause of all pairs of a cell and a cell in the box around it."""
+    off = f"SELECT unnest(range({-r}, {r + 1}))"
+    return f"{a} a, ({off} AS dx), ({off} AS dy) JOIN {n} n ON n.ix = a.ix + dx AND n.iy = a.iy + dy"
+
+
 # --- curves on one row -----------------------------------------------------------------------
 
 _MEASURE = {
@@ -482,21 +496,12 @@ def project_points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {fx.SQL_GRID}, b AS (SELECT a.ix, a.iy, avg(n.z) AS m, stddev_pop(n.z) AS s FROM grid a JOIN grid n ON n.ix BETWEEN a.ix - 2 AND a.ix + 2 AND n.iy BETWEEN a.iy - 2 AND a.iy + 2 GROUP BY ALL)
-SELECT ix, iy, round(m, 5) AS mean, round(s, 3) AS std FROM b"""
+    f"""WITH {fx.SQL_GRID}, b AS (SELECT a.ix, a.iy, avg(n.z) AS m, stddev_pop(n.z) AS s FROM {_sql_box('grid', 'grid', 2)} GROUP BY ALL)
+SELECT ix, iy, round(m, 7) AS mean, round(s, 3) AS std FROM b"""
 )
 def box_mean_std(spark: SparkSession, sf: str) -> DataFrame:
     some = focal.box_std(focal.box_mean(fx.grid(spark, sf), "z", 5, "mean"), "z", 5, "std")
-    return some.select("ix", "iy", F.round("mean", 5).alias("mean"), F.round("std", 3).alias("std"))
-
-
-def _sql_near(value: str) -> str:
-    """The nine values around each cell, the border repeated."""
-    at = {"nw": (-1, -1), "n": (0, -1), "ne": (1, -1), "w": (-1, 0), "e": (1, 0), "sw": (-1, 1), "s": (0, 1), "se": (1, 1)}
-    joins = " ".join(
-        f"JOIN grid {k} ON {k}.ix = greatest(0, least(124, c.ix + ({dx}))) AND {k}.iy = greatest(0, least(last.ny, c.iy + ({dy})))" for k, (dx, dy) in at.items()
-    )
-    return f"SELECT c.ix, c.iy, c.{value} AS c, " + ", ".join(f"{k}.{value} AS {k}" for k in at) + f" FROM grid c, (SELECT max(iy) AS ny FROM grid) last {joins}"
+    return some.select("ix", "iy", F.round("mean", 7).alias("mean"), F.round("std", 3).alias("std"))
 
 
 _SQL_HORN = f"""WITH {fx.SQL_GRID}, near AS ({_sql_near('zs')}),
@@ -513,7 +518,7 @@ def horn_slope_aspect(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     _SQL_HORN
-    + """, b AS (SELECT a.ix, a.iy, stddev_pop(n.slope) AS s FROM horn a JOIN horn n ON n.ix BETWEEN a.ix - 2 AND a.ix + 2 AND n.iy BETWEEN a.iy - 2 AND a.iy + 2 GROUP BY ALL)
+    + f""", b AS (SELECT a.ix, a.iy, stddev_pop(n.slope) AS s FROM {_sql_box('horn', 'horn', 2)} GROUP BY ALL)
 SELECT ix, iy, round(s, 4) AS roughness FROM b"""
 )
 def terrain_roughness(spark: SparkSession, sf: str) -> DataFrame:
@@ -523,7 +528,7 @@ def terrain_roughness(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {fx.SQL_GRID}, m AS (SELECT *, ((ix * 7 + iy * 13) % 5 < 2)::INT AS o FROM grid),
-d AS (SELECT a.ix, a.iy, any_value(a.o) AS o, avg(n.o) * 49 AS dens FROM m a JOIN m n ON n.ix BETWEEN a.ix - 3 AND a.ix + 3 AND n.iy BETWEEN a.iy - 3 AND a.iy + 3 GROUP BY a.ix, a.iy)
+d AS (SELECT a.ix, a.iy, any_value(a.o) AS o, avg(n.o) * 49 AS dens FROM {_sql_box('m', 'm', 3)} GROUP BY a.ix, a.iy)
 SELECT ix, iy, o = 1 AND dens >= 20 AS kept FROM d"""
 )
 def density_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -532,8 +537,8 @@ def density_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {fx.SQL_GRID}, d AS (SELECT a.ix, a.iy, bool_or(n.water) AS grown FROM grid a JOIN grid n ON n.ix BETWEEN a.ix - 2 AND a.ix + 2 AND n.iy BETWEEN a.iy - 2 AND a.iy + 2 GROUP BY ALL),
-x AS (SELECT a.ix, a.iy, bool_or(n.water) AS plus FROM grid a JOIN grid n ON abs(n.ix - a.ix) + abs(n.iy - a.iy) <= 2 GROUP BY ALL)
+    f"""WITH {fx.SQL_GRID}, d AS (SELECT a.ix, a.iy, bool_or(n.water) AS grown FROM {_sql_box('grid', 'grid', 2)} GROUP BY ALL),
+x AS (SELECT a.ix, a.iy, bool_or(n.water) AS plus FROM {_sql_box('grid', 'grid', 2)} WHERE abs(dx) + abs(dy) <= 2 GROUP BY a.ix, a.iy)
 SELECT ix, iy, grown, plus FROM d JOIN x USING (ix, iy)"""
 )
 def dilate(spark: SparkSession, sf: str) -> DataFrame:
@@ -544,8 +549,8 @@ def dilate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {fx.SQL_GRID}, m AS (SELECT *, (ix * 7 + iy * 13) % 5 < 2 AS o FROM grid),
-d AS (SELECT a.ix, a.iy, bool_or(n.o) AS grown FROM m a JOIN m n ON n.ix BETWEEN a.ix - 1 AND a.ix + 1 AND n.iy BETWEEN a.iy - 1 AND a.iy + 1 GROUP BY ALL),
-e AS (SELECT a.ix, a.iy, bool_and(n.grown) AND count(*) = 9 AS closed FROM d a JOIN d n ON n.ix BETWEEN a.ix - 1 AND a.ix + 1 AND n.iy BETWEEN a.iy - 1 AND a.iy + 1 GROUP BY ALL)
+d AS (SELECT a.ix, a.iy, bool_or(n.o) AS grown FROM {_sql_box('m', 'm', 1)} GROUP BY ALL),
+e AS (SELECT a.ix, a.iy, bool_and(n.grown) AND count(*) = 9 AS closed FROM {_sql_box('d', 'd', 1)} GROUP BY ALL)
 SELECT ix, iy, closed FROM e"""
 )
 def close_mask(spark: SparkSession, sf: str) -> DataFrame:
@@ -630,7 +635,7 @@ def median3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {fx.SQL_GRID}, t AS (SELECT ix, iy FROM grid WHERE water),
-d AS (SELECT g.ix, g.iy, min(pow(g.ix - t.ix, 2) + pow(g.iy - t.iy, 2)) AS d2 FROM grid g JOIN t ON t.iy BETWEEN g.iy - 12 AND g.iy + 12 AND t.ix BETWEEN g.ix - 12 AND g.ix + 12 GROUP BY ALL)
+d AS (SELECT n.ix, n.iy, min(dx * dx + dy * dy) AS d2 FROM {_sql_box('t', 'grid', 12)} GROUP BY n.ix, n.iy)
 SELECT g.ix, g.iy, round(CASE WHEN d2 <= 144 THEN sqrt(d2) END, 6) AS dist FROM grid g LEFT JOIN d USING (ix, iy)"""
 )
 def edt_bounded(spark: SparkSession, sf: str) -> DataFrame:
@@ -639,7 +644,7 @@ def edt_bounded(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {fx.SQL_GRID}, t AS (SELECT ix, iy FROM grid WHERE urban),
-d AS (SELECT g.ix, g.iy, min(sqrt(pow(g.ix - t.ix, 2) + pow(g.iy - t.iy, 2))) AS d FROM grid g JOIN t ON t.iy BETWEEN g.iy - 5 AND g.iy + 5 AND t.ix BETWEEN g.ix - 5 AND g.ix + 5 GROUP BY ALL)
+d AS (SELECT n.ix, n.iy, min(sqrt(dx * dx + dy * dy)) AS d FROM {_sql_box('t', 'grid', 5)} GROUP BY n.ix, n.iy)
 SELECT g.ix, g.iy, round(0.8::DOUBLE * least(1, coalesce(CASE WHEN d <= 5 THEN d END, 5) / 5), 6) AS score FROM grid g LEFT JOIN d USING (ix, iy)"""
 )
 def soft_fade(spark: SparkSession, sf: str) -> DataFrame:
@@ -648,8 +653,7 @@ def soft_fade(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {fx.SQL_GRID}, h AS (SELECT g.ix, g.iy, min_by(n.z, ((n.ix - g.ix) * (n.ix - g.ix) + (n.iy - g.iy) * (n.iy - g.iy), n.iy, n.ix)) AS z FROM grid g JOIN grid n
-    ON n.ix BETWEEN g.ix - 3 AND g.ix + 3 AND n.iy BETWEEN g.iy - 3 AND g.iy + 3 AND n.z IS NOT NULL AND pow(n.ix - g.ix, 2) + pow(n.iy - g.iy, 2) <= 9 GROUP BY ALL)
+    f"""WITH {fx.SQL_GRID}, h AS (SELECT a.ix, a.iy, min_by(n.z, (dx * dx + dy * dy, dy, dx)) AS z FROM {_sql_box('grid', 'grid', 3)} WHERE n.z IS NOT NULL AND dx * dx + dy * dy <= 9 GROUP BY a.ix, a.iy)
 SELECT ix, iy, round(h.z, 6) AS filled FROM grid LEFT JOIN h USING (ix, iy)"""
 )
 def nearest_fill(spark: SparkSession, sf: str) -> DataFrame:
@@ -659,7 +663,8 @@ def nearest_fill(spark: SparkSession, sf: str) -> DataFrame:
 # --- regions ---------------------------------------------------------------------------------
 
 _SQL_HOT = f"{fx.SQL_GRID}, hot AS (SELECT *, iy * 125 + ix AS id FROM grid WHERE z > 1350)"
-_SQL_REGION = """reach(id, lab) AS (SELECT id, id FROM hot UNION SELECT b.id, r.lab FROM reach r JOIN hot a ON a.id = r.id JOIN hot b ON abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1),
+_SQL_REGION = """near8 AS (SELECT a.id AS a, b.id AS b FROM hot a, (SELECT unnest(range(-1, 2)) AS dx), (SELECT unnest(range(-1, 2)) AS dy) JOIN hot b ON b.ix = a.ix + dx AND b.iy = a.iy + dy),
+reach(id, lab) AS (SELECT id, id FROM hot UNION SELECT p.b, r.lab FROM reach r JOIN near8 p ON p.a = r.id),
 lab AS (SELECT id, min(lab) AS first FROM reach GROUP BY id), region AS (SELECT hot.*, dense_rank() OVER (ORDER BY first) AS region FROM hot JOIN lab USING (id))"""
 
 
@@ -675,7 +680,8 @@ def connected_components(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SQL_CLUSTER = f"""WITH RECURSIVE {_SQL_HOT}, {_SQL_REGION},
-e AS (SELECT r.*, (SELECT count(*) FROM region n WHERE n.region = r.region AND abs(n.ix - r.ix) + abs(n.iy - r.iy) = 1) < 4 AS edge FROM region r),
+side AS (SELECT r.id, count(*) AS n FROM region r, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dx, dy) JOIN region n ON n.ix = r.ix + dx AND n.iy = r.iy + dy AND n.region = r.region GROUP BY r.id),
+e AS (SELECT r.*, coalesce(side.n, 0) < 4 AS edge FROM region r LEFT JOIN side USING (id)),
 stats AS (SELECT region, count(*) AS n_cells, count(*) * 100.0::DOUBLE AS size_m2, avg(z / 2000) AS mean_score, max(z / 2000) AS max_score, (avg(ix) + 0.5::DOUBLE) * 10 AS x, -(avg(iy) + 0.5::DOUBLE) * 10 AS y,
     avg(z) AS altitude, 4 * pi() * count(*) * 100 / pow(sum(edge::INT) * 10, 2) AS compactness FROM e GROUP BY region HAVING count(*) >= 4),
 names AS (SELECT region, species, count(*) AS n FROM region WHERE species IS NOT NULL GROUP BY ALL),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terracell import fixed
 from terracell.operators import resolve
+from terracell.operators.model import clip
 
 
 def _listed(text: str) -> list[tuple[str, float]]:
@@ -53,7 +54,7 @@ def regional_table(spark: SparkSession) -> DataFrame:
     )
     mean = F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum("w"))
     return each.groupBy("region", "forest_type", "band", "substrate").agg(
-        F.coalesce(F.greatest(F.lit(0.05), F.least(F.lit(1.0), mean)), F.lit(0.25)).alias("score")
+        F.coalesce(clip(mean, 0.05), F.lit(0.25)).alias("score")
     )
 
 

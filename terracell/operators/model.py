@@ -9,7 +9,8 @@ from terracell import fixed
 
 
 def clip(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """Within the limits; null stays null, which greatest and least alone would pass over."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def weighted(scores: dict[str, Column], weights: dict[str, float] = fixed.WEIGHTS) -> tuple[Column, Column]:
@@ -51,7 +52,7 @@ def fade(score: Column, cells_to_excluded: Column, buffer_m: float, cell: float)
 def dry_limestone(score: Column, applies: Column, roughness: Column, twi: Column) -> Column:
     """The score lowered on dry limestone, the more the rougher and drier; missing measures leave it."""
     drop = 0.4 * clip(roughness / 10) + 0.6 * clip((8 - twi) / 6)
-    factor = F.greatest(F.lit(0.5), 1 - 0.5 * drop)
+    factor = clip(1 - 0.5 * drop, 0.5)
     return F.when(F.coalesce(applies, F.lit(False)), score * F.coalesce(factor, F.lit(1.0))).otherwise(score)
 
 

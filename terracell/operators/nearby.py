@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -177,7 +176,7 @@ def regions_of_points(
             who, box = tree.candidates(at)
             inside = in_triangles(at[who], triangle[box]) if len(who) else np.zeros(0, bool)
             both = np.unique(np.column_stack([who[inside], whose[box[inside]]]), axis=0)
-            yield pd.DataFrame({"point_id": batch["point_id"].to_numpy()[both[:, 0]], "region_id": [names[k] for k in both[:, 1]]})
+            yield pd.DataFrame({"point_id": batch["point_id"].to_numpy()[both[:, 0]], "region_id": pd.Series([names[k] for k in both[:, 1]], dtype=object)})
 
     return (
         points.select(points[ident].cast("long").alias("point_id"), points[x].cast("double").alias("x"), points[y].cast("double").alias("y"))
@@ -189,7 +188,3 @@ def regions_of_points(
 def box_corners(west: str, south: str, east: str, north: str) -> Column:
     """The outline of a box."""
     return F.array(*[F.array(F.col(a), F.col(b)) for a, b in ((west, south), (east, south), (east, north), (west, north))])
-
-
-def metres_per_degree() -> float:
-    return math.pi * EARTH_M / 180

@@ -11,7 +11,7 @@ DRY_MM, BURST_MM, INTENSE_MM = 2.0, 10.0, 20.0
 
 
 def clip01(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def temperature(t: Column) -> Column:

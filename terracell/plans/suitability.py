@@ -750,7 +750,7 @@ c AS (SELECT * FROM p, (SELECT unnest([0, 1, 2, 3]) AS ft), (SELECT unnest([0, 1
     WHERE ft NOT IN (1, 2) OR (ft = 2) = (species IN ({", ".join(f"'{c}'" for c in fixed.CONIFERS)}))),
 e AS (SELECT c.region, c.ft, c.b, c.sub, sum(c.p * coalesce(a.a, 1) * coalesce(m.m, 1) * s.s) AS x, sum(c.p * coalesce(a.a, 1) * coalesce(m.m, 1)) AS w
     FROM c JOIN s USING (species) LEFT JOIN a ON a.species = c.species AND a.band = c.b LEFT JOIN m ON m.species = c.species AND m.substrate = c.sub GROUP BY ALL),
-f AS (SELECT region, ft, b, sub, coalesce(greatest(0.05::DOUBLE, least(1, CASE WHEN w <> 0 THEN x / w END)), 0.25::DOUBLE) AS score FROM e)
+f AS (SELECT region, ft, b, sub, CASE WHEN w <> 0 THEN greatest(0.05::DOUBLE, least(1, x / w)) ELSE 0.25::DOUBLE END AS score FROM e)
 SELECT ix, iy, round(coalesce(CASE WHEN abs(f.score - 0.25::DOUBLE) > 0.01 THEN f.score END, g.score, 0.25::DOUBLE), 6) AS regional FROM zone
 LEFT JOIN f ON f.region = zone.region AND f.ft = forest_type AND f.b = band AND f.sub = substrate
 LEFT JOIN f g ON g.region = '_default' AND g.ft = forest_type AND g.b = band AND g.sub = 0"""

@@ -17,7 +17,7 @@ def arc(a, b):
 
 def brute(points, radius):
     ok = [(i, a, o) for i, a, o in points if i is not None and a is not None and o is not None and -90 <= a <= 90 and -180 <= o <= 180 and (a, o) != (0, 0)]
-    return sorted({(min(i, j), max(i, j)) for i, a, o in ok for j, b, p in ok if i < j and arc((a, o), (b, p)) <= radius})
+    return sorted({(min(i, j), max(i, j)) for i, a, o in ok for j, b, p in ok if i < j and arc((a, o), (b, p)) <= radius}, key=repr)
 
 
 def frame(spark, points):

@@ -37,7 +37,7 @@ MOST_GRAMS = 2_000_000
 _SIGNS = "–—‘’“”„‚…•€™œŒŠšŽžŸ‹›†‡‰ˆ˜ƒ−"
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _LETTER = regex.compile(r"\p{L}")
-INVISIBLE = "​‌‍⁠﻿"
+INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff"
 
 # Costs in nats. Chosen once, on the channel's strength of evidence.
 COST_UTF8, COST_CASED, COST_PAGE, COST_PAGE_CASED, COST_PAGE_AGAIN, COST_WILDCARD, COST_LOST = 0.5, 1.0, 3.0, 6.0, 0.5, 3.0, 4.0
@@ -326,7 +326,7 @@ def span_readings(values: DataFrame, words: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast({g["gram"]: float(g["n"]) for g in grams})
     read = spans.select("span").mapInPandas(_read_spans(shared), "span string, reading string, base double, word string, spelled double")
     known = read.join(counts.withColumnRenamed("term", "word"), "word", "left").join(spans, "span")
-    n = F.coalesce("n", F.lit(0)) - F.when(F.col("reading") == F.col("span"), F.col("own")).otherwise(0)
+    n = F.coalesce("n", F.lit(0)) - F.when(F.lower("reading") == F.lower("span"), F.col("own")).otherwise(0)
     word_cost = F.when(n > 0, F.least("spelled", -F.log(n / total))).otherwise(F.col("spelled"))
     cost = known.groupBy("span", "reading").agg((F.first("base") + F.sum(word_cost)).alias("cost"))
     best = cost.groupBy("span").agg(F.min_by("reading", F.struct("cost", "reading")).alias("reading"))
@@ -351,16 +351,11 @@ def repair(df: DataFrame, fields: dict[str, str]) -> DataFrame:
 
 def repair_values(values: DataFrame, words: DataFrame) -> DataFrame:
     """:func:`repair` for distinct values with their numbers and the corpus terms."""
-    best = span_readings(values, words)
-    odd = values.where(F.col("value").rlike(r"[^\x00-\x7f]"))
-    spans = odd.select("value", F.posexplode(F.split(clean_start(F.col("value")), " ")).alias("at", "span"))
-    return (
-        spans.join(best, "span", "left")
-        .groupBy("value")
-        .agg(
-            F.max(F.coalesce("damaged", F.lit(False))).alias("damaged"),
-            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("reading", "span").alias("text")))), lambda x: x["text"]), " ").alias("restored"),
-        )
-        .where("damaged")
-        .select("value", "restored", (~F.col("restored").rlike("[�\x80-\x9f]")).alias("whole"))
-    )
+    best = span_readings(values, words).where("damaged")
+    # a digest stands for the value while its spans are looked up, so long values travel once
+    odd = values.where(F.col("value").rlike(r"[^\x00-\x7f]")).select("value", F.sha2(F.col("value"), 256).alias("digest"))
+    spans = odd.select("digest", F.posexplode(F.split(clean_start(F.col("value")), " ")).alias("at", "span")).where(F.col("span").rlike(r"[^\x00-\x7f]"))
+    found = spans.join(best, "span").groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("at", "reading"))).alias("fix"))
+    pieces = F.transform(F.split(clean_start(F.col("value")), " "), lambda s, i: F.coalesce(F.try_element_at("fix", i), s))
+    restored = odd.join(found, "digest").select("value", F.array_join(pieces, " ").alias("restored"))
+    return restored.select("value", "restored", (~F.col("restored").rlike("[�\x80-\x9f]")).alias("whole"))

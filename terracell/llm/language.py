@@ -98,17 +98,22 @@ def products(counts: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
     weight = np.log1p(share * 20_000)
     weight = np.where(seen[:, None], weight - weight.mean(1, keepdims=True), 0.0).astype(np.float32)
     letter = letter_vectors(dimensions)
-    pair = (np.roll(letter, 2, 1)[:, None, :] * np.roll(letter, 1, 1)[None, :, :]).reshape(-1, dimensions)
-    cube = weight.reshape(SYMBOLS * SYMBOLS, SYMBOLS, -1)
-    used = np.flatnonzero(np.abs(cube).sum((1, 2)) > 0)
+    turned, twice = np.roll(letter, 1, 1), np.roll(letter, 2, 1)
+    cube = weight.reshape(SYMBOLS, SYMBOLS, SYMBOLS, -1)
     n = counts.shape[1]
     prototype = np.zeros((n, dimensions), np.float32)
-    for lang in range(n):  # bundle: sum over (a, b, c) of weight * pair(a, b) * c
-        prototype[lang] = np.einsum("pd,pd->d", pair[used], cube[used, :, lang] @ letter)
+    for a in range(SYMBOLS):  # one first letter at a time, so that no more than its pairs are held
+        if np.any(cube[a]):
+            pair = twice[a] * turned
+            for lang in range(n):  # bundle: sum over (a, b, c) of weight * pair(a, b) * c
+                prototype[lang] += np.einsum("pd,pd->d", pair, cube[a, :, :, lang] @ letter)
     prototype /= np.maximum(np.linalg.norm(prototype, axis=1, keepdims=True), 1e-9)
-    towards = (letter[None, :, :] * prototype[:, None, :]).reshape(n * SYMBOLS, dimensions)
-    out = pair @ towards.T / np.sqrt(dimensions)
-    return out.reshape(SYMBOLS * SYMBOLS, n, SYMBOLS).transpose(0, 2, 1).reshape(-1, n).astype(np.float32)
+    towards = (letter[None, :, :] * prototype[:, None, :]).reshape(n * SYMBOLS, dimensions).T
+    out = np.empty((SYMBOLS, SYMBOLS, SYMBOLS, n), np.float32)
+    for a in range(SYMBOLS):
+        some = (twice[a] * turned) @ towards
+        out[a] = some.reshape(SYMBOLS, n, SYMBOLS).transpose(0, 2, 1)
+    return out.reshape(-1, n) / np.float32(np.sqrt(dimensions))
 
 
 def unit_bounds(points: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

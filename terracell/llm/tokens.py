@@ -40,7 +40,7 @@ WITH RECURSIVE round(word, pos, tok, turn) AS (
         FROM (
             SELECT *, least_here AND (row_number() OVER (PARTITION BY word, island ORDER BY pos)) % 2 = 1 AS taken
             FROM (
-                SELECT *, place - row_number() OVER (PARTITION BY word, least_here ORDER BY pos) AS island_part,
+                SELECT *,
                        CASE WHEN least_here THEN place - row_number() OVER (PARTITION BY word, least_here ORDER BY pos) ELSE -1 - place END AS island
                 FROM (
                     SELECT *, rank IS NOT NULL AND rank = min(rank) OVER (PARTITION BY word) AS least_here, min(rank) OVER (PARTITION BY word) AS least

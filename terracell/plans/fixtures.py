@@ -29,6 +29,12 @@ def grid(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def rows(cells: DataFrame) -> int:
+    """The number of rows of a grid, by one aggregation."""
+    last = cells.agg(F.max("iy")).first()[0]
+    return 0 if last is None else last + 1
+
+
 def boxes(spark: SparkSession, sf: str) -> DataFrame:
     """``seq, xmin, ymin, xmax, ymax, code, score`` in cell units."""
     k, side = F.col("p_partkey"), F.col("p_size") / 10

@@ -468,7 +468,9 @@ j AS (SELECT c.*, src.z FROM c LEFT JOIN src ON src.ix = jx AND src.iy = jy WHER
 SELECT ix, iy, round(CASE WHEN max_by(z IS NULL, (w, -jy, -jx)) THEN NULL ELSE sum(w * coalesce(z, 0)) END, 6) AS z FROM j GROUP BY ix, iy"""
 )
 def resample_bilinear(spark: SparkSession, sf: str) -> DataFrame:
-    out = grid.resample(fx.grid(spark, sf).where("iy < 12"), "z", (125, 12), (200, 30))
+    cells = fx.grid(spark, sf)
+    ny = fx.rows(cells)
+    out = grid.resample(cells, "z", (fx.NX, ny), (200, ny * 5 // 2))
     return out.select("ix", "iy", r6(F.col("z")).alias("z"))
 
 
@@ -477,7 +479,9 @@ def resample_bilinear(spark: SparkSession, sf: str) -> DataFrame:
 SELECT t.ix, t.iy, z FROM t LEFT JOIN grid ON grid.ix = floor(t.ix * (124 / 59) + 0.5::DOUBLE) AND grid.iy = floor(t.iy * (11 / 5) + 0.5::DOUBLE)"""
 )
 def resample_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    return grid.resample(fx.grid(spark, sf).where("iy < 12"), "z", (125, 12), (60, 6), nearest=True)
+    cells = fx.grid(spark, sf)
+    ny = fx.rows(cells)
+    return grid.resample(cells, "z", (fx.NX, ny), (60, (ny + 1) // 2), nearest=True)
 
 
 @query(

@@ -448,11 +448,16 @@ s AS (SELECT p.*, coalesce({sql_curve('z', curves.ALTITUDE)}, 0) AS predicted FR
 SELECT count(*) AS checkpoints, sum((abs(predicted - expected) < tol)::INT)::BIGINT AS agree, round(avg((abs(predicted - expected) < tol)::INT), 6) AS rate FROM s WHERE expected IS NOT NULL"""
 )
 def checkpoint_concordance(spark: SparkSession, sf: str) -> DataFrame:
-    """How often the score of the nearest cell lies within the tolerance of what is expected."""
+    """How often the score of the nearest cell lies within the tolerance of what is expected.
+
+    The rows of the grid, however many, lie over 2.64 degrees of latitude.
+    """
+    some = fx.grid(spark, sf)
+    ny = fx.rows(some)
     at = table(spark, sf, "terrain_checkpoints").where("lat between 40 and 50 and lon between 0 and 10 and expected is not null")
     clamp = lambda v, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(v))).cast("int")
-    at = at.select("expected", F.coalesce("tolerance", F.lit(0.25)).alias("tol"), clamp((F.col("lon") - 4) / 0.0256, 125).alias("ix"), clamp((46.6 - F.col("lat")) / 0.22, 12).alias("iy"))
-    cells = fx.grid(spark, sf).where("iy < 12").select("ix", "iy", F.coalesce(curves.ALTITUDE.of(F.col("z")), F.lit(0.0)).alias("predicted"))
+    at = at.select("expected", F.coalesce("tolerance", F.lit(0.25)).alias("tol"), clamp((F.col("lon") - 4) / 0.0256, 125).alias("ix"), clamp((46.6 - F.col("lat")) / (2.64 / max(ny, 1)), ny).alias("iy"))
+    cells = some.select("ix", "iy", F.coalesce(curves.ALTITUDE.of(F.col("z")), F.lit(0.0)).alias("predicted"))
     ok = F.abs(F.col("predicted") - F.col("expected")) < F.col("tol")
     return at.join(cells, ["ix", "iy"]).agg(F.count("*").alias("checkpoints"), F.count_if(ok).alias("agree"), r6(F.avg(ok.cast("int"))).alias("rate"))
 

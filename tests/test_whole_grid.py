@@ -2,12 +2,18 @@
 
 import pytest
 
+from terracell.functions import curves
 from terracell.plans import fixtures as fx
 from terracell.plans import suitability
 from tests.oracle import compare, connect
 
 LARGER = "/root/testdata/sf0.01"
 SQL = {
+    "checkpoint_concordance": f"""WITH {fx.SQL_GRID}, n AS (SELECT max(iy) + 1 AS ny FROM grid),
+p AS (SELECT expected, coalesce(tolerance, 0.25::DOUBLE) AS tol, greatest(0, least(124, floor((lon - 4) / 0.0256::DOUBLE)))::INT AS ix,
+    greatest(0, least(ny - 1, floor((46.6::DOUBLE - lat) / (2.64::DOUBLE / ny))))::INT AS iy FROM terrain_checkpoints, n WHERE lat BETWEEN 40 AND 50 AND lon BETWEEN 0 AND 10),
+s AS (SELECT p.*, coalesce({suitability.sql_curve('z', curves.ALTITUDE)}, 0) AS predicted FROM p JOIN grid USING (ix, iy))
+SELECT count(*) AS checkpoints, sum((abs(predicted - expected) < tol)::INT)::BIGINT AS agree, round(avg((abs(predicted - expected) < tol)::INT), 6) AS rate FROM s WHERE expected IS NOT NULL""",
     "resample_bilinear": f"""WITH {fx.SQL_GRID}, n AS (SELECT max(iy) + 1 AS ny, ny * 5 // 2 AS ty FROM grid),
 t AS (SELECT (range % 200)::INT AS ix, (range // 200)::INT AS iy FROM range((SELECT 200 * ty FROM n))),
 u AS (SELECT t.*, ny, ix * (124 / 199) AS u, iy * ((ny - 1) / (ty - 1)) AS v FROM t, n),

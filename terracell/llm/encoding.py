@@ -143,9 +143,12 @@ class CharModel:
             self.before[g[:2]] += n
             self.single[g[2]] += n
         self.total = sum(self.single.values()) or 1.0
-        some = [(n, c) for c, n in self.single.items() if 0xC0 <= ord(c) < 0x180 and n > 1e-4 * self.total]
+        some = [(n, c) for c, n in self.single.items() if 0xC0 <= ord(c) < 0x180]  # rare ones too: the costs decide
         self.letters = [c for _, c in sorted(some, reverse=True)]
-        self.usual = {*self.letters, *(c.upper() for c in self.letters)}
+        self.capitals = [c.upper() for c in self.letters if len(c.upper()) == 1 and c.upper() > "\x7f" and c.upper() != c]
+        self.usual = {*self.letters, *self.capitals}
+        self.rare = {f for n, c in some if n <= 1e-4 * self.total for f in (c, c.upper())}
+        self.beam = max(BEAM, 2 * (len(self.usual) + 2))  # no letter of a single wildcard falls out
         self.cache: dict[str, float] = {}
 
     def cost(self, gram: str) -> float:
@@ -176,7 +179,7 @@ def edges(text: str, at: int, model: CharModel) -> list[tuple[int, str, float]]:
     ch = text[at]
     if ch < "\x80":
         return [(1, ch, 0.0)]
-    both = [(c, 0.0) for c in model.letters] + [(c.upper(), 1.0) for c in model.letters]
+    both = [(c, 0.0) for c in model.letters] + [(c, 1.0) for c in model.capitals]
     if ch == "�":  # one sign may stand for all bytes of a character, or each byte has its own
         return [(n, c, COST_WILDCARD + p) for n in (1, 2, 3) if text[at : at + n] == ch * n for c, p in [*both, ("–", 2.0), ("°", 2.0)]]
     some = text[at : at + 3]
@@ -233,7 +236,7 @@ def readings(span: str, model: CharModel, rounds: int = 3) -> dict[str, float]:
             front: list[dict[str, tuple[float, float]]] = [{} for _ in range(len(text) + 3)]
             front[0][""] = (0.0, 0.0)
             for at in range(len(text)):
-                here = sorted(front[at].items(), key=lambda x: x[1][0] + x[1][1])[:BEAM]
+                here = sorted(front[at].items(), key=lambda x: x[1][0] + x[1][1])[: model.beam]
                 front[at] = {}
                 ways = edges(text, at, model) if here else []
                 for n, to, price in ways:
@@ -244,7 +247,9 @@ def readings(span: str, model: CharModel, rounds: int = 3) -> dict[str, float]:
                         old = front[at + n].get(now)
                         if old is None or sum(step) < sum(old):
                             front[at + n][now] = step
-            ends = sorted(front[len(text)].items(), key=lambda x: sum(x[1]))[:KEPT]
+            ranked = sorted(front[len(text)].items(), key=lambda x: sum(x[1]))
+            odd = [bool(model.rare.intersection(t)) for t, _ in ranked]  # rare letters take no place of the usual ones
+            ends = [end for kind in (False, True) for end in [e for e, o in zip(ranked, odd, strict=True) if o == kind][:KEPT]]
             for now, (channel, _) in [*ends, *((t, c) for t, c in front[len(text)].items() if t == text)]:
                 if now == text and turn == 0:
                     best[span] = channel

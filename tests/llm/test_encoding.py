@@ -54,3 +54,10 @@ def test_very_long_value(spark, corpus):
     long = "hêtre " * 20_000 + "hÃªtre"
     got = repaired(spark, [*corpus, long])
     assert got[long][0] == "hêtre " * 20_000 + "hêtre"
+
+
+def test_rare_letter_of_the_corpus(spark, corpus):
+    right = "lignites xyloïdes"
+    bad = [right.encode("cp1252").decode(page) for page in ("mac_roman", "cp850")] + ["lignites xylo�des"]
+    got = repaired(spark, corpus * 6 + [right] * 3 + bad)
+    assert {b: got.get(b, ("not found",))[0] for b in bad} == dict.fromkeys(bad, right)

@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the session's checkpoint folder and read back.
 
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is unset, as in
-    tests on one machine, a temporary one is made.
+    The folder is ``spark.checkpoint.dir`` of the session. Where that is unset, a session on
+    one machine (master ``local``) gets a temporary folder; any other one is refused, since
+    a folder of one machine would be lost with it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terracell-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="terracell-"))
     return df.checkpoint(eager=True)

@@ -2,60 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import functools
+import itertools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracell import fixed
 from terracell.operators import resolve
-from terracell.operators.model import clip
-
-
-def _listed(text: str) -> list[tuple[str, float]]:
-    return [(n, float(v)) for n, v in (part.rsplit(" ", 1) for part in text.split(", "))]
-
-
-def shares(spark: SparkSession) -> DataFrame:
-    """``region, species, p``."""
-    return spark.createDataFrame([(r, s, p) for r, text in fixed.REGIONS for s, p in _listed(text)], "region string, species string, p double")
-
 
-def affinities(spark: SparkSession) -> DataFrame:
-    """``species, band, a``."""
-    rows = [(s, b, float(v)) for s, text in fixed.AFFINITY for b, v in enumerate(text.split())]
-    return spark.createDataFrame(rows, "species string, band int, a double")
 
-
-def substrate_factors(spark: SparkSession) -> DataFrame:
-    """``substrate, species, m``."""
-    rows = [(int(k), s, m) for k, text in fixed.SUBSTRATE_FACTORS for s, m in _listed(text)]
-    return spark.createDataFrame(rows, "substrate int, species string, m double")
-
-
-def regional_table(spark: SparkSession) -> DataFrame:
-    """``region, forest_type, band, substrate, score`` for all combinations: a small dimension.
+@functools.cache
+def regional_table() -> tuple[tuple[str, int, int, int, float], ...]:
+    """``region, forest_type, band, substrate, score`` for all combinations, from the fixed values alone.
 
     Shares are kept to the broad-leaved or coniferous species of the forest type (all, where
     none is left), changed by the substrate, and weigh the species scores together with the
     affinity to the band; 0.25 where nothing weighs. Everything sums within a combination,
-    so the steps that only rescale the shares cancel out.
+    so the steps that only rescale the shares cancel out. A score that is hardly different
+    from 0.25 gives way to the general share; the region '' stands for any other region.
     """
-    conifer = F.col("species").isin(*fixed.CONIFERS)
-    score = resolve.scored(resolve.species(F.col("species")), fixed.SPECIES_SCORES)
-    each = (
-        shares(spark)
-        .withColumn("forest_type", F.explode(F.sequence(F.lit(0), F.lit(3))))
-        .where(F.when(F.col("forest_type") == 1, ~conifer).when(F.col("forest_type") == 2, conifer).otherwise(True))
-        .withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(len(fixed.BANDS) - 1))))
-        .withColumn("substrate", F.explode(F.sequence(F.lit(0), F.lit(4))))
-        .join(affinities(spark), ["species", "band"], "left")
-        .join(substrate_factors(spark), ["species", "substrate"], "left")
-        .withColumn("w", F.col("p") * F.coalesce("a", F.lit(1.0)) * F.coalesce("m", F.lit(1.0)))
-        .withColumn("s", score)
-    )
-    mean = F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum("w"))
-    return each.groupBy("region", "forest_type", "band", "substrate").agg(
-        F.coalesce(clip(mean, 0.05), F.lit(0.25)).alias("score")
-    )
+    bands, substrates = range(len(fixed.BANDS)), range(5)
+    own: dict[tuple[str, int, int, int], float] = {}
+    for (region, shares), kind, band, substrate in itertools.product(fixed.REGIONS.items(), range(4), bands, substrates):
+        total = got = 0.0
+        for name, share in shares.items():
+            if kind in (1, 2) and (name in fixed.CONIFERS) == (kind == 1):
+                continue
+            weight = share * fixed.AFFINITY.get(name, (1.0,) * len(bands))[band] * fixed.SUBSTRATE_FACTORS.get(substrate, {}).get(name, 1.0)
+            total += weight
+            got += weight * fixed.SPECIES_SCORES[resolve.species_name(name)]
+        own[region, kind, band, substrate] = min(1.0, max(0.05, got / total)) if total else 0.25
+    rows = [(r, k, b, s, v if abs(v - 0.25) > 0.01 else own["_default", k, b, 0]) for (r, k, b, s), v in own.items()]
+    rows += [("", k, b, s, own["_default", k, b, 0]) for k, b, s in itertools.product(range(4), bands, substrates)]
+    return tuple(rows)
 
 
 def band_of(altitude: Column) -> Column:
@@ -83,8 +63,8 @@ def substrate_of(category: Column, slope: Column) -> Column:
 
 def regional_scores(cells: DataFrame) -> DataFrame:
     """Adds ``regional`` to cells with ``region, forest_type, band, substrate``; unknown regions get the general shares."""
-    table = F.broadcast(regional_table(cells.sparkSession))  # 6 regions x 4 types x 5 bands x 5 substrates
-    general = table.where("region = '_default' and substrate = 0").select("forest_type", "band", F.col("score").alias("__general"))
-    found = cells.join(table, ["region", "forest_type", "band", "substrate"], "left").join(F.broadcast(general), ["forest_type", "band"], "left")
-    near = F.abs(F.col("score") - 0.25) <= 0.01
-    return found.withColumn("regional", F.coalesce(F.when(~near, F.col("score")), F.col("__general"), F.lit(0.25))).drop("score", "__general")
+    table = cells.sparkSession.createDataFrame(list(regional_table()), "__r string, forest_type int, band int, substrate int, regional double")
+    known = F.when(F.col("region").isin(*fixed.REGIONS), F.col("region")).otherwise("")
+    small = F.broadcast(table)  # 7 regions x 4 types x 5 bands x 5 substrates
+    found = cells.withColumn("__r", known).join(small, ["__r", "forest_type", "band", "substrate"], "left").drop("__r")
+    return found.withColumn("regional", F.coalesce("regional", F.lit(0.25)))

@@ -28,8 +28,9 @@ _RHO0 = _A * _G * _t(_PHI0) ** _N
 
 
 def to_metric(lat: Column, lon: Column) -> tuple[Column, Column]:
-    """(x, y) in EPSG:2154 of WGS84 degrees, in closed form."""
-    phi, lam = F.radians(lat), F.radians(lon)
+    """(x, y) in EPSG:2154 of WGS84 degrees, in closed form; null for positions out of range and at the south pole."""
+    valid = (lat > -90) & (lat <= 90) & lon.between(-180, 180)
+    phi, lam = F.radians(F.when(valid, lat)), F.radians(F.when(valid, lon))
     e = F.lit(_E) * F.sin(phi)
     t = F.tan(F.lit(math.pi / 4) - phi / 2) / F.pow((1 - e) / (1 + e), F.lit(_E / 2))
     rho = F.lit(_A * _G) * F.pow(t, F.lit(_N))

@@ -23,13 +23,18 @@ def hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     return 60.0 * turn, F.when(high == 0, 0.0).otherwise(span / high), high / 255.0
 
 
-def colour_class(r: Column, g: Column, b: Column, valid: Column | None = None) -> Column:
-    """The number of the first colour rule that fits, 0 for none, -1 where there is no picture."""
-    h, s, v = hsv(r, g, b)
-    out = F.when(~valid, -1) if valid is not None else F.when(F.lit(False), -1)
+def colour_class(df: DataFrame, r: str, g: str, b: str, out: str, valid: str | None = None) -> DataFrame:
+    """Adds ``out``: the number of the first colour rule that fits, 0 for none, -1 where there is no picture.
+
+    Hue, saturation and value are worked out in a projection of their own, once a row; the
+    rules only compare them.
+    """
+    h, s, v = hsv(F.col(r), F.col(g), F.col(b))
+    df = df.withColumns({"__h": h, "__s": s, "__v": v})
+    rule = F.when(~F.col(valid), -1) if valid else F.when(F.lit(False), -1)
     for k, (_, h0, h1, s0, s1, v0, v1) in enumerate(fixed.COLOUR_RULES, 1):
-        out = out.when(h.between(h0, h1) & s.between(s0, s1) & v.between(v0, v1), k)
-    return out.otherwise(0)
+        rule = rule.when(F.col("__h").between(h0, h1) & F.col("__s").between(s0, s1) & F.col("__v").between(v0, v1), k)
+    return df.withColumn(out, rule.otherwise(0)).drop("__h", "__s", "__v")
 
 
 def green_score(cls: Column) -> Column:

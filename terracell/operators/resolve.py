@@ -46,6 +46,17 @@ def species(raw: Column) -> Column:
     )
 
 
+def species_name(text: str) -> str:
+    """:func:`species` of a text in the driver, for small fixed tables."""
+    key = text.strip().lower().translate(str.maketrans(" -éèêâîôùû", "__eeeaiouu", "'"))
+    if key in fixed.SPECIES_SCORES:
+        return key
+    if key in fixed.SPECIES_ALIASES:
+        return fixed.SPECIES_ALIASES[key]
+    inside = [(n, n) for n in fixed.SPECIES_SCORES if n != "unknown"] + list(fixed.SPECIES_ALIASES.items())
+    return next((name for word, name in inside if word in key), "unknown")
+
+
 def geology(raw: Column) -> Column:
     """Geological category: map code, category name, first keyword contained, else unknown."""
     code = F.trim(raw)
@@ -58,13 +69,19 @@ def geology(raw: Column) -> Column:
     )
 
 
-def geology_cascade(descr: Column, notation: Column) -> Column:
-    """Description, then its late overrides, then the map notation; else unknown."""
-    some = F.when(F.length(F.trim(descr)) > 0, F.lower(F.trim(descr)))
-    step1, code = geology(some), F.trim(notation)
-    step3 = F.when(F.length(code) > 0, F.coalesce(looked_up(code, fixed.GEOLOGY_CODES), looked_up(F.lower(code), fixed.GEOLOGY_CODES), geology(code)))
-    known = lambda c: F.when(c != "unknown", c)
-    return F.coalesce(known(step1), first_contained(some, fixed.GEOLOGY_OVERRIDES), known(step3), F.lit("unknown"))
+def geology_cascade(df: DataFrame, descr: str, notation: str, out: str) -> DataFrame:
+    """Adds ``out``: the category of the description, then of its late overrides, then of the map notation; else unknown.
+
+    Three projections without a shuffle: each chain of rules is evaluated in one of them,
+    so none is pasted into the others and the generated code stays small.
+    """
+    text, code = F.trim(df[descr]), F.trim(df[notation])
+    df = df.withColumns({"__t": F.when(F.length(text) > 0, F.lower(text)), "__c": F.when(F.length(code) > 0, code)})
+    df = df.withColumns({"__1": geology(F.col("__t")), "__2": first_contained(F.col("__t"), fixed.GEOLOGY_OVERRIDES)})
+    codes = F.coalesce(looked_up(F.col("__c"), fixed.GEOLOGY_CODES), looked_up(F.lower("__c"), fixed.GEOLOGY_CODES))
+    df = df.withColumn("__3", F.when(F.col("__c").isNotNull(), F.coalesce(codes, geology(F.col("__c")))))
+    known = lambda c: F.when(F.col(c) != "unknown", F.col(c))
+    return df.withColumn(out, F.coalesce(known("__1"), F.col("__2"), known("__3"), F.lit("unknown"))).drop("__t", "__c", "__1", "__2", "__3")
 
 
 def water_type(raw: Column) -> Column:
@@ -95,12 +112,3 @@ def vegetation_code(raw: Column) -> Column:
 def species_in_text(raw: Column) -> Column:
     """The first species pattern contained in a free text of three letters or more, else unknown."""
     return F.coalesce(F.when(F.length(raw) >= 3, first_contained(F.lower(raw), fixed.TEXT_PATTERNS)), F.lit("unknown"))
-
-
-def once_per_value(df: DataFrame, column: str, out: str, rule) -> DataFrame:
-    """Adds ``out = rule(column)``, worked out once for each distinct value and joined back.
-
-    For rules so long that they cost more than the join; nulls get the rule of null.
-    """
-    done = df.select(F.col(column).alias("__v")).distinct().withColumn(out, rule(F.col("__v")))
-    return df.join(done, df[column].eqNullSafe(done["__v"]), "left").drop("__v")

@@ -36,26 +36,28 @@ def rows(cells: DataFrame) -> int:
 
 
 def boxes(spark: SparkSession, sf: str) -> DataFrame:
-    """``seq, xmin, ymin, xmax, ymax, code, score`` in cell units."""
+    """``seq, xmin, ymin, xmax, ymax, code, score`` in cell units, spread over all rows of the grid."""
+    ny = rows(grid(spark, sf))
     k, side = F.col("p_partkey"), F.col("p_size") / 10
     return table(spark, sf, "part").select(
         k.alias("seq"),
         (k * 37 % NX).cast("double").alias("xmin"),
-        (k * 91 % 120).cast("double").alias("ymin"),
+        (k * 91 % ny).cast("double").alias("ymin"),
         (k * 37 % NX + side).alias("xmax"),
-        (k * 91 % 120 + side).alias("ymax"),
+        (k * 91 % ny + side).alias("ymax"),
         (F.col("p_size") % 7 + 1).cast("int").alias("code"),
         ((F.col("p_size") % 10) / 10).alias("score"),
     )
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:
-    """``seq, px, py, value`` in cell units."""
+    """``seq, px, py, value`` in cell units, spread over all rows of the grid."""
+    ny = rows(grid(spark, sf))
     k = F.col("c_custkey")
     return table(spark, sf, "customer").select(
         k.alias("seq"),
         (k * 53 % NX).cast("double").alias("px"),
-        (k * 29 % 120).cast("double").alias("py"),
+        (k * 29 % ny).cast("double").alias("py"),
         F.when(F.col("c_mktsegment") == "BUILDING", 0.90).otherwise(0.75).alias("value"),
     )
 
@@ -97,10 +99,11 @@ SQL_GRID = f"""grid AS (SELECT (o_orderkey % 125)::INT AS ix, (o_orderkey // 125
     300 + 0.1::DOUBLE * pow(o_orderkey % 125 - 60, 2) + 0.02::DOUBLE * pow((o_orderkey // 125) % 120 - 60, 2) AS zs,
     {_case('o_orderpriority', SPECIES)} AS species, {_case('o_orderstatus', GEOLOGY)} AS geology,
     o_orderkey % 97 = 0 AS water, o_orderkey * 7919 % 211 = 0 AS urban FROM orders)"""
-SQL_BOXES = """boxes AS (SELECT p_partkey AS seq, (p_partkey * 37 % 125)::DOUBLE AS xmin, (p_partkey * 91 % 120)::DOUBLE AS ymin,
-    p_partkey * 37 % 125 + p_size / 10 AS xmax, p_partkey * 91 % 120 + p_size / 10 AS ymax, p_size % 7 + 1 AS code, (p_size % 10) / 10 AS score FROM part)"""
-SQL_POINTS = """points AS (SELECT c_custkey AS seq, (c_custkey * 53 % 125)::DOUBLE AS px, (c_custkey * 29 % 120)::DOUBLE AS py,
-    CASE WHEN c_mktsegment = 'BUILDING' THEN 0.9::DOUBLE ELSE 0.75::DOUBLE END AS value FROM customer)"""
+SQL_BOXES = """boxes AS (SELECT p_partkey AS seq, (p_partkey * 37 % 125)::DOUBLE AS xmin, (p_partkey * 91 % ny)::DOUBLE AS ymin,
+    p_partkey * 37 % 125 + p_size / 10 AS xmax, p_partkey * 91 % ny + p_size / 10 AS ymax, p_size % 7 + 1 AS code, (p_size % 10) / 10 AS score
+    FROM part, (SELECT max(o_orderkey) // 125 + 1 AS ny FROM orders))"""
+SQL_POINTS = """points AS (SELECT c_custkey AS seq, (c_custkey * 53 % 125)::DOUBLE AS px, (c_custkey * 29 % ny)::DOUBLE AS py,
+    CASE WHEN c_mktsegment = 'BUILDING' THEN 0.9::DOUBLE ELSE 0.75::DOUBLE END AS value FROM customer, (SELECT max(o_orderkey) // 125 + 1 AS ny FROM orders))"""
 SQL_DAYS = """counts AS (SELECT ts::DATE AS day, count(*) FILTER (event_type = 'view') AS nv, count(*) FILTER (event_type = 'error') AS ne,
     count(*) FILTER (event_type = 'click') AS nc, count(*) FILTER (event_type = 'purchase') AS np FROM events GROUP BY 1),
 days AS (SELECT day, (nv * 5 % 29 - 1)::DOUBLE AS t, (nv * 5 % 29 - 7)::DOUBLE AS tmin, greatest(0, ne * 11 % 37 - 14)::DOUBLE AS rain,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terracell import fixed
 from terracell.functions import curves
 from terracell.operators import enrich, focal, graph, grid, landcover, model, resolve, spatial, weather
+from terracell.operators.nearby import valid_position
 from terracell.plans import fixtures as fx
 from terracell.sources.tables import table
 
@@ -78,10 +79,10 @@ def _curve_query(name: str) -> None:
     curve, measure, sql = _MEASURE[name]
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return fx.grid(spark, sf).select("ix", "iy", r6(curve.of(measure())).alias("score"))
+        return fx.grid(spark, sf).select("ix", "iy", curve.of(measure()).alias("score"))
 
     QUERIES[name] = run
-    ORACLE[name] = f"WITH {fx.SQL_GRID} SELECT ix, iy, round({sql_curve(f'({sql})', curve)}, 6) AS score FROM grid"
+    ORACLE[name] = f"WITH {fx.SQL_GRID} SELECT ix, iy, {sql_curve(f'({sql})', curve)} AS score FROM grid"
 
 
 for _name in _MEASURE:
@@ -351,7 +352,7 @@ r AS (SELECT e0, n, coalesce(nullif({_sql_geology('e')}, 'unknown'), {_first_in(
 SELECT geology_id, name AS category FROM geology LEFT JOIN r ON geology.descr IS NOT DISTINCT FROM r.e0 AND geology.notation IS NOT DISTINCT FROM r.n"""
 )
 def geology_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "geology").select("geology_id", resolve.geology_cascade(F.col("descr"), F.col("notation")).alias("category"))
+    return resolve.geology_cascade(table(spark, sf, "geology"), "descr", "notation", "category").select("geology_id", "category")
 
 
 @query(
@@ -443,18 +444,20 @@ def dedup_elements(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""WITH {fx.SQL_GRID}, n AS (SELECT max(iy) + 1 AS ny FROM grid),
 p AS (SELECT checkpoint_id, expected, coalesce(tolerance, 0.25::DOUBLE) AS tol, greatest(0, least(124, floor((lon - 4) / 0.0256::DOUBLE)))::INT AS ix,
-    greatest(0, least(11, floor((46.6::DOUBLE - lat) / 0.22::DOUBLE)))::INT AS iy FROM terrain_checkpoints WHERE lat BETWEEN 40 AND 50 AND lon BETWEEN 0 AND 10),
+    greatest(0, least(ny - 1, floor((46.6::DOUBLE - lat) / (2.64::DOUBLE / ny))))::INT AS iy FROM terrain_checkpoints, n
+    WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0)),
 s AS (SELECT p.*, coalesce({sql_curve('z', curves.ALTITUDE)}, 0) AS predicted FROM p JOIN grid USING (ix, iy))
 SELECT count(*) AS checkpoints, sum((abs(predicted - expected) < tol)::INT)::BIGINT AS agree, round(avg((abs(predicted - expected) < tol)::INT), 6) AS rate FROM s WHERE expected IS NOT NULL"""
 )
 def checkpoint_concordance(spark: SparkSession, sf: str) -> DataFrame:
     """How often the score of the nearest cell lies within the tolerance of what is expected.
 
-    The rows of the grid, however many, lie over 2.64 degrees of latitude.
+    The rows of the grid, however many, lie over 2.64 degrees of latitude. Every checkpoint
+    with a valid position takes part; one outside the grid meets the nearest border cell.
     """
     some = fx.grid(spark, sf)
     ny = fx.rows(some)
-    at = table(spark, sf, "terrain_checkpoints").where("lat between 40 and 50 and lon between 0 and 10 and expected is not null")
+    at = table(spark, sf, "terrain_checkpoints").where(valid_position(F.col("lat"), F.col("lon")) & F.col("expected").isNotNull())
     clamp = lambda v, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(v))).cast("int")
     at = at.select("expected", F.coalesce("tolerance", F.lit(0.25)).alias("tol"), clamp((F.col("lon") - 4) / 0.0256, 125).alias("ix"), clamp((46.6 - F.col("lat")) / (2.64 / max(ny, 1)), ny).alias("iy"))
     cells = some.select("ix", "iy", F.coalesce(curves.ALTITUDE.of(F.col("z")), F.lit(0.0)).alias("predicted"))
@@ -463,13 +466,13 @@ def checkpoint_concordance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {fx.SQL_GRID}, src AS (SELECT * FROM grid WHERE iy < 12),
-t AS (SELECT (range % 200)::INT AS ix, (range // 200)::INT AS iy FROM range(200 * 30)),
-u AS (SELECT *, ix * (124 / 199) AS u, iy * (11 / 29) AS v FROM t),
-c AS (SELECT u.ix, u.iy, least(floor(u) + dx, 124)::INT AS jx, least(floor(v) + dy, 11)::INT AS jy,
+    f"""WITH {fx.SQL_GRID}, n AS (SELECT max(iy) + 1 AS ny, ny * 5 // 2 AS ty FROM grid),
+t AS (SELECT (range % 200)::INT AS ix, (range // 200)::INT AS iy FROM range((SELECT 200 * ty FROM n))),
+u AS (SELECT t.*, ny, ix * (124 / 199) AS u, iy * ((ny - 1) / (ty - 1)) AS v FROM t, n),
+c AS (SELECT ix, iy, least(floor(u) + dx, 124)::INT AS jx, least(floor(v) + dy, ny - 1)::INT AS jy,
     (CASE WHEN dx = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE WHEN dy = 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END) AS w
     FROM u, (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy)),
-j AS (SELECT c.*, src.z FROM c LEFT JOIN src ON src.ix = jx AND src.iy = jy WHERE w > 0)
+j AS (SELECT c.*, grid.z FROM c LEFT JOIN grid ON grid.ix = jx AND grid.iy = jy WHERE w > 0)
 SELECT ix, iy, round(CASE WHEN max_by(z IS NULL, (w, -jy, -jx)) THEN NULL ELSE sum(w * coalesce(z, 0)) END, 6) AS z FROM j GROUP BY ix, iy"""
 )
 def resample_bilinear(spark: SparkSession, sf: str) -> DataFrame:
@@ -480,8 +483,9 @@ def resample_bilinear(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {fx.SQL_GRID}, t AS (SELECT (range % 60)::INT AS ix, (range // 60)::INT AS iy FROM range(60 * 6))
-SELECT t.ix, t.iy, z FROM t LEFT JOIN grid ON grid.ix = floor(t.ix * (124 / 59) + 0.5::DOUBLE) AND grid.iy = floor(t.iy * (11 / 5) + 0.5::DOUBLE)"""
+    f"""WITH {fx.SQL_GRID}, n AS (SELECT max(iy) + 1 AS ny, (ny + 1) // 2 AS ty FROM grid),
+t AS (SELECT (range % 60)::INT AS ix, (range // 60)::INT AS iy, ny, ty FROM n, range((SELECT 60 * ty FROM n)))
+SELECT t.ix, t.iy, z FROM t LEFT JOIN grid ON grid.ix = floor(t.ix * (124 / 59) + 0.5::DOUBLE) AND grid.iy = floor(t.iy * ((ny - 1) / (ty - 1)) + 0.5::DOUBLE)"""
 )
 def resample_nearest(spark: SparkSession, sf: str) -> DataFrame:
     cells = fx.grid(spark, sf)
@@ -490,15 +494,16 @@ def resample_nearest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH p AS (SELECT checkpoint_id, radians(lat) AS phi, radians(lon) AS lam FROM terrain_checkpoints WHERE lat BETWEEN 40 AND 52 AND lon BETWEEN -6 AND 12),
-t AS (SELECT *, tan(pi() / 4 - phi / 2) / pow((1 - {grid._E!r}::DOUBLE * sin(phi)) / (1 + {grid._E!r}::DOUBLE * sin(phi)), {grid._E / 2!r}::DOUBLE) AS t FROM p)
+    f"""WITH p AS (SELECT checkpoint_id, radians(lat) AS phi, radians(lon) AS lam FROM terrain_checkpoints),
+v AS (SELECT checkpoint_id, CASE WHEN ok THEN phi END AS phi, CASE WHEN ok THEN lam END AS lam FROM (SELECT *, phi > -pi() / 2 AND phi <= pi() / 2 AND abs(lam) <= pi() AS ok FROM p)),
+t AS (SELECT *, tan(pi() / 4 - phi / 2) / pow((1 - {grid._E!r}::DOUBLE * sin(phi)) / (1 + {grid._E!r}::DOUBLE * sin(phi)), {grid._E / 2!r}::DOUBLE) AS t FROM v)
 SELECT checkpoint_id, round(700000 + {grid._A * grid._G!r}::DOUBLE * pow(t, {grid._N!r}::DOUBLE) * sin({grid._N!r}::DOUBLE * (lam - {grid._LAM0!r}::DOUBLE)), 3) AS x,
     round(6600000 + {grid._RHO0!r}::DOUBLE - {grid._A * grid._G!r}::DOUBLE * pow(t, {grid._N!r}::DOUBLE) * cos({grid._N!r}::DOUBLE * (lam - {grid._LAM0!r}::DOUBLE)), 3) AS y FROM t"""
 )
 def project_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Every checkpoint in metres; null where it has no position on the globe that the projection can show."""
     x, y = grid.to_metric(F.col("lat"), F.col("lon"))
-    some = table(spark, sf, "terrain_checkpoints").where("lat between 40 and 52 and lon between -6 and 12")
-    return some.select("checkpoint_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+    return table(spark, sf, "terrain_checkpoints").select("checkpoint_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
 # --- neighbourhoods --------------------------------------------------------------------------
@@ -703,10 +708,9 @@ def _clusters(spark: SparkSession, sf: str) -> DataFrame:
     return graph.region_stats(cells, fx.CELL, 4)
 
 
-@query(_SQL_CLUSTER + "SELECT region, n_cells, size_m2, round(mean_score, 6) AS mean_score, round(max_score, 6) AS max_score, round(x, 6) AS x, round(y, 6) AS y, round(altitude, 6) AS altitude, round(compactness, 6) AS compactness FROM stats")
+@query(_SQL_CLUSTER + "SELECT region, n_cells, size_m2, mean_score, max_score, x, y, altitude, compactness FROM stats")
 def cluster_stats(spark: SparkSession, sf: str) -> DataFrame:
-    rounded = [r6(F.col(c)).alias(c) for c in ("mean_score", "max_score", "x", "y", "altitude", "compactness")]
-    return _clusters(spark, sf).select("region", "n_cells", "size_m2", *rounded)
+    return _clusters(spark, sf).select("region", "n_cells", "size_m2", "mean_score", "max_score", "x", "y", "altitude", "compactness")
 
 
 @query(_SQL_CLUSTER + "SELECT stats.region, dominant_species FROM stats LEFT JOIN dom USING (region)")
@@ -737,9 +741,9 @@ def _zone(g: DataFrame) -> DataFrame:
     )
 
 
-_SQL_SHARES = ", ".join(f"('{r}', '{s}', {p}::DOUBLE)" for r, text in fixed.REGIONS for s, p in enrich._listed(text))
-_SQL_AFF = ", ".join(f"('{s}', {b}, {v}::DOUBLE)" for s, text in fixed.AFFINITY for b, v in enumerate(text.split()))
-_SQL_MOD = ", ".join(f"({k}, '{s}', {m}::DOUBLE)" for k, text in fixed.SUBSTRATE_FACTORS for s, m in enrich._listed(text))
+_SQL_SHARES = ", ".join(f"('{r}', '{s}', {p}::DOUBLE)" for r, some in fixed.REGIONS.items() for s, p in some.items())
+_SQL_AFF = ", ".join(f"('{s}', {b}, {v}::DOUBLE)" for s, some in fixed.AFFINITY.items() for b, v in enumerate(some))
+_SQL_MOD = ", ".join(f"({k}, '{s}', {m}::DOUBLE)" for k, some in fixed.SUBSTRATE_FACTORS.items() for s, m in some.items())
 _SQL_ZONE = f"""{fx.SQL_GRID},
 zone AS (SELECT ix, iy, CASE WHEN iy % 120 * 100 - 6000 < -3000 THEN 'bas_drac' WHEN ix * 100 - 6200 < -3000 AND z > 500 THEN 'vercors' WHEN ix * 100 - 6200 > 3000 AND z > 600 THEN 'belledonne'
     WHEN iy % 120 * 100 - 6000 > 2000 AND z > 400 THEN 'chartreuse' ELSE 'gresivaudan' END AS region, ix % 4 AS forest_type,
@@ -792,7 +796,7 @@ c AS (SELECT *, CASE WHEN NOT valid THEN -1 {" ".join(f"WHEN hue BETWEEN {h0} AN
 
 
 def _classed(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.pixels(spark, sf).withColumn("class", landcover.colour_class(F.col("r"), F.col("g"), F.col("b"), F.col("valid")))
+    return landcover.colour_class(fx.pixels(spark, sf), "r", "g", "b", "class", "valid")
 
 
 @query(_SQL_HSV + "SELECT px, py, r, g, b, class FROM c")

@@ -1,36 +1,18 @@
-"""Queries over all rows of a grid of more than 12 rows, against SQL without fixed sizes."""
+"""Queries over all rows of a grid of more than 12 rows."""
 
 import pytest
 
-from terracell.functions import curves
 from terracell.plans import fixtures as fx
 from terracell.plans import suitability
 from tests.oracle import compare, connect
 
 LARGER = "/root/testdata/sf0.01"
-SQL = {
-    "checkpoint_concordance": f"""WITH {fx.SQL_GRID}, n AS (SELECT max(iy) + 1 AS ny FROM grid),
-p AS (SELECT expected, coalesce(tolerance, 0.25::DOUBLE) AS tol, greatest(0, least(124, floor((lon - 4) / 0.0256::DOUBLE)))::INT AS ix,
-    greatest(0, least(ny - 1, floor((46.6::DOUBLE - lat) / (2.64::DOUBLE / ny))))::INT AS iy FROM terrain_checkpoints, n WHERE lat BETWEEN 40 AND 50 AND lon BETWEEN 0 AND 10),
-s AS (SELECT p.*, coalesce({suitability.sql_curve('z', curves.ALTITUDE)}, 0) AS predicted FROM p JOIN grid USING (ix, iy))
-SELECT count(*) AS checkpoints, sum((abs(predicted - expected) < tol)::INT)::BIGINT AS agree, round(avg((abs(predicted - expected) < tol)::INT), 6) AS rate FROM s WHERE expected IS NOT NULL""",
-    "resample_bilinear": f"""WITH {fx.SQL_GRID}, n AS (SELECT max(iy) + 1 AS ny, ny * 5 // 2 AS ty FROM grid),
-t AS (SELECT (range % 200)::INT AS ix, (range // 200)::INT AS iy FROM range((SELECT 200 * ty FROM n))),
-u AS (SELECT t.*, ny, ix * (124 / 199) AS u, iy * ((ny - 1) / (ty - 1)) AS v FROM t, n),
-c AS (SELECT ix, iy, least(floor(u) + dx, 124)::INT AS jx, least(floor(v) + dy, ny - 1)::INT AS jy,
-    (CASE WHEN dx = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE WHEN dy = 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END) AS w
-    FROM u, (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy)),
-j AS (SELECT c.*, grid.z FROM c LEFT JOIN grid ON grid.ix = jx AND grid.iy = jy WHERE w > 0)
-SELECT ix, iy, round(CASE WHEN max_by(z IS NULL, (w, -jy, -jx)) THEN NULL ELSE sum(w * coalesce(z, 0)) END, 6) AS z FROM j GROUP BY ix, iy""",
-    "resample_nearest": f"""WITH {fx.SQL_GRID}, n AS (SELECT max(iy) + 1 AS ny, (ny + 1) // 2 AS ty FROM grid),
-t AS (SELECT (range % 60)::INT AS ix, (range // 60)::INT AS iy, ny, ty FROM n, range((SELECT 60 * ty FROM n)))
-SELECT t.ix, t.iy, z FROM t LEFT JOIN grid ON grid.ix = floor(t.ix * (124 / 59) + 0.5::DOUBLE) AND grid.iy = floor(t.iy * ((ny - 1) / (ty - 1)) + 0.5::DOUBLE)""",
-}
+NAMES = ("checkpoint_concordance", "resample_bilinear", "resample_nearest", "rasterize_mask", "point_boost", "score_contact", "cluster_stats")
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", NAMES)
 def test_all_rows_take_part(spark, name):
-    compare(suitability.QUERIES[name](spark, LARGER), connect(LARGER), SQL[name])
+    compare(suitability.QUERIES[name](spark, LARGER), connect(LARGER), suitability.ORACLE[name])
 
 
 def test_rows_of_an_empty_grid(spark):

@@ -1,21 +1,24 @@
 """Edit distance between nested schemas, as a minimum-cost script.
 
 A schema is a tree: a node has a name, a kind and children. Children have no order, so the
-distance is the constrained one for unordered trees: the children of two matched nodes are
-matched with each other at least total cost (Hungarian method), the rest is deleted or
-added with all below it. Costs: one for each node deleted or added, one for a rename, one
-half for a changed kind.
+distance is the constrained one for unordered trees: fields of one name under matched
+parents are matched, the fields left over on both sides are matched with each other at
+least total cost (Hungarian method), and the rest is deleted or added with all below it. A
+node that is deleted in one place and added under another parent with the same values has
+moved. Costs: one for each node deleted or added, one for a rename or a move, one half for a
+changed kind.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 RENAME, RETYPE = 1.0, 0.5
 NEVER = 1e9
 
+Path = tuple[str, ...]
+
 
 @dataclass
 class Node:
@@ -26,72 +29,37 @@ class Node:
     def size(self) -> int:
         return 1 + sum(c.size() for c in self.children)
 
+    def walk(self, path: Path) -> Iterator[tuple[Path, Node]]:
+        """The node at ``path`` and all below it."""
+        yield path, self
+        for c in self.children:
+            yield from c.walk((*path, c.name))
+
 
 @dataclass
 class Edit:
     kind: str  # added, removed, renamed, retyped, moved
-    old: str
-    new: str
+    old: Path
+    new: Path
     cost: float
     old_kind: str = ""
     new_kind: str = ""
 
 
-_TOKEN = re.compile(r"`(?:[^`]|``)*`|[^<>:,\s`()]+|\([^)]*\)|[<>:,]")
-
-
-def parse_schema(text: str | None, name: str = "") -> Node:
-    """The tree of a type text such as ``OBJECT<a: BIGINT, b: ARRAY<OBJECT<c: STRING>>>``."""
-    tokens = _TOKEN.findall(text or "OBJECT<>")
-    at = 0
-
-    def take() -> str:
-        nonlocal at
-        at += 1
-        return tokens[at - 1]
-
-    def kind_of(label: str) -> Node:
-        nonlocal at
-        word = take().upper()
-        scale = ""
-        if at < len(tokens) and tokens[at][0] == "(":
-            scale = take()
-        if word == "OBJECT":
-            node = Node(label, "object")
-            if at < len(tokens) and tokens[at] == "<":
-                take()
-                while tokens[at] != ">":
-                    key = take()
-                    while tokens[at] != ":":
-                        key += take()
-                    take()
-                    node.children.append(kind_of(key[1:-1].replace("``", "`") if key[0] == "`" else key))
-                    if tokens[at] == ",":
-                        take()
-                take()
-            return node
-        if word == "ARRAY":
-            node = Node(label, "array")
-            if at < len(tokens) and tokens[at] == "<":
-                take()
-                inner = kind_of("[]")
-                take()
-                if inner.kind != "null":
-                    node.children.append(inner)
-            return node
-        return Node(label, kind_name(word, scale))
-
-    return kind_of(name)
-
-
-def kind_name(word: str, scale: str = "") -> str:
-    """The JSON kind of a type name: string, integer, decimal, boolean, array, object, null."""
-    if word in ("BIGINT", "INT", "SMALLINT", "TINYINT", "LONG"):
-        return "integer"
-    if word == "DECIMAL":
-        digits = [int(x) for x in re.findall(r"\d+", scale)]
-        return "integer" if len(digits) == 2 and digits[1] == 0 and digits[0] > 18 else "decimal"
-    return {"DOUBLE": "decimal", "FLOAT": "decimal", "BOOLEAN": "boolean", "VOID": "null", "OBJECT": "object", "ARRAY": "array"}.get(word, "string")
+def tree(fields: list[tuple[Path, str]]) -> Node:
+    """The schema tree of all paths and their kinds; a parent that is not listed is an object."""
+    root = Node("", "object")
+    at: dict[Path, Node] = {(): root}
+
+    def place(path: Path) -> Node:
+        if path not in at:
+            at[path] = Node(path[-1], "object")
+            place(path[:-1]).children.append(at[path])
+        return at[path]
+
+    for path, kind in sorted(fields):
+        place(path).kind = kind
+    return root
 
 
 def assign(cost: list[list[float]]) -> list[int]:
@@ -129,68 +97,74 @@ def assign(cost: list[list[float]]) -> list[int]:
     return out
 
 
-def diff(old: Node, new: Node, same_values: Callable[[str, str], bool], kinds: Callable[[str], tuple[str, str]] | None = None) -> list[Edit]:
+def diff(old: Node, new: Node, same_values: Callable[[Path, Path], bool]) -> list[Edit]:
     """The least-cost script from one schema to the other.
 
-    ``same_values(a, b)`` says whether top-level field ``a`` of the old and ``b`` of the new
-    schema hold the same values: only then may one be a rename of the other. Below the top
-    a rename needs equal subtrees. ``kinds(name)`` gives the old and new kind of a top-level
-    field of unchanged name, where the caller knows them better than the schemas do.
+    ``same_values(a, b)`` says whether the field at path ``a`` of the old and ``b`` of the
+    new schema hold the same values: only then may one be a rename of the other, where their
+    parents are matched, or have moved to the other, where they are not.
     """
-    script = _children(old, new, "", same_values, kinds)[1]
-    for gone in [e for e in script if e.kind == "removed"]:  # the same leaf under another parent has moved
-        leaf = gone.old.rpartition(".")[2]
-        for come in script:
-            far = come.new.rpartition(".")[2] == leaf and come.old_kind == "" and come.new_kind == gone.old_kind
-            if come.kind == "added" and far and ("." in gone.old or "." in come.new) and same_values(gone.old, come.new):
-                script.remove(gone)
-                script.remove(come)
-                script.append(Edit("moved", gone.old, come.new, RENAME, gone.old_kind, come.new_kind))
-                break
+    gone: list[tuple[Path, Node]] = []
+    come: list[tuple[Path, Node]] = []
+    script = _children(old, new, (), (), same_values, gone, come)
+    below = [(path, node, top) for top, start in gone for path, node in start.walk(top)]
+    above = [(path, node, top) for top, start in come for path, node in start.walk(top)]
+    pairs = [(x, y) for x in below for y in above if x[0][:-1] != y[0][:-1] and same_values(x[0], y[0])]
+    cost = {("old", path): float(node.size()) for path, node in gone} | {("new", path): float(node.size()) for path, node in come}
+    taken: set[tuple[str, Path]] = set()
+
+    def free(side: str, path: Path) -> bool:
+        """Neither the node nor one above or below it has moved."""
+        return not any(s == side and (path[: len(t)] == t or t[: len(path)] == path) for s, t in taken)
+
+    # the same name before another one, whole subtrees before their parts
+    for (was, a, top), (now, b, over) in sorted(pairs, key=lambda p: (p[0][0][-1] != p[1][0][-1], len(p[0][0]), p[0][0], p[1][0])):
+        if free("old", was) and free("new", now):
+            taken |= {("old", was), ("new", now)}
+            cost["old", top] -= a.size()
+            cost["new", over] -= b.size()
+            script.append(Edit("moved", was, now, RENAME, a.kind, b.kind))
+    script += [Edit("removed", p, (), cost["old", p], n.kind, "") for p, n in gone if ("old", p) not in taken]
+    script += [Edit("added", (), p, cost["new", p], "", n.kind) for p, n in come if ("new", p) not in taken]
     return sorted(script, key=lambda e: (e.old, e.new))
 
 
-def _children(old: Node, new: Node, path: str, same: Callable, kinds: Callable | None) -> tuple[float, list[Edit]]:
-    top = path == ""
-    a, b = old.children, new.children
+def _children(old: Node, new: Node, at: Path, to: Path, same: Callable, gone: list, come: list) -> list[Edit]:
+    """The edits below two matched nodes; what is left over goes to ``gone`` and ``come``."""
+    script: list[Edit] = []
+    was, now = {c.name: c for c in old.children}, {c.name: c for c in new.children}
+    for name in sorted(was.keys() & now.keys()):
+        x, y = was[name], now[name]
+        if x.kind != y.kind and "null" not in (x.kind, y.kind):
+            script.append(Edit("retyped", (*at, name), (*to, name), RETYPE, x.kind, y.kind))
+        if {"array", "object"} & set(x.kind.split("|")) & set(y.kind.split("|")):  # else what lies below went with the kind
+            script += _children(x, y, (*at, name), (*to, name), same, gone, come)
+    a = [was[n] for n in sorted(was.keys() - now.keys())]
+    b = [now[n] for n in sorted(now.keys() - was.keys())]
     n = len(a) + len(b)
-    if not n:
-        return 0.0, []
-    inner: dict[tuple[int, int], tuple[float, list[Edit]]] = {}
-    cost = [[0.0] * n for _ in range(n)]
-    for i in range(n):
-        for j in range(n):
-            if i < len(a) and j < len(b):
-                x, y = a[i], b[j]
-                at, to = path + x.name, path + y.name
-                if x.name == y.name:
-                    was, now = kinds(x.name) if top and kinds else (x.kind, y.kind)
-                    below = _children(x, y, at + ".", same, kinds) if x.kind == y.kind else (0.0, [])
-                    extra = [Edit("retyped", at, to, RETYPE, was, now)] if was != now and "null" not in (was, now) else []
-                    inner[i, j] = (below[0] + RETYPE * len(extra), extra + below[1])
-                elif (same(x.name, y.name) if top else x.kind == y.kind and _same_tree(x, y)):
-                    inner[i, j] = (RENAME, [Edit("renamed", at, to, RENAME, x.kind, y.kind)])
-                else:
-                    inner[i, j] = (NEVER, [])
-                cost[i][j] = inner[i, j][0]
-            elif i < len(a):
-                cost[i][j] = float(a[i].size()) if j - len(b) == i else NEVER
-            elif j < len(b):
-                cost[i][j] = float(b[j].size()) if i - len(a) == j else NEVER
-    total, script = 0.0, []
-    for i, j in enumerate(assign(cost)):
-        total += cost[i][j]
-        if i < len(a) and j < len(b):
-            script += inner[i, j][1]
-        elif i < len(a):
-            script.append(Edit("removed", path + a[i].name, "", cost[i][j], a[i].kind, ""))
-        elif j < len(b):
-            script.append(Edit("added", "", path + b[j].name, cost[i][j], "", b[j].kind))
-    return total, script
-
-
-def _same_tree(a: Node, b: Node) -> bool:
-    if a.kind != b.kind or len(a.children) != len(b.children) or not a.children:
-        return False
-    rest = {c.name: c for c in b.children}
-    return all(c.name in rest and c.kind == rest[c.name].kind for c in a.children)
+    alike = [[same((*at, x.name), (*to, y.name)) for y in b] for x in a]
+    if any(map(any, alike)):
+        cost = [[0.0] * n for _ in range(n)]
+        for i in range(n):
+            for j in range(n):
+                if i < len(a) and j < len(b):
+                    cost[i][j] = RENAME if alike[i][j] else NEVER
+                elif i < len(a):
+                    cost[i][j] = float(a[i].size()) if j - len(b) == i else NEVER
+                elif j < len(b):
+                    cost[i][j] = float(b[j].size()) if i - len(a) == j else NEVER
+        match = assign(cost)
+    else:
+        match = [len(b) + i for i in range(len(a))] + list(range(len(b)))
+    kept = set()
+    for i, x in enumerate(a):
+        j = match[i]
+        if j < len(b):
+            y = b[j]
+            kept.add(j)
+            script.append(Edit("renamed", (*at, x.name), (*to, y.name), RENAME, x.kind, y.kind))
+            script += _children(x, y, (*at, x.name), (*to, y.name), same, gone, come)
+        else:
+            gone.append(((*at, x.name), x))
+    come += [((*to, y.name), y) for j, y in enumerate(b) if j not in kept]
+    return script

@@ -59,11 +59,11 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_changes(spark: SparkSession, sf: str) -> DataFrame:
-    return _changes(spark, sf)
+    return drift.dotted(_changes(spark, sf))
 
 
 def p7_table(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.unified(table(spark, sf, "geology_raw"), _changes(spark, sf), COLUMNS)
+    return drift.unified(table(spark, sf, "geology_raw"), table(spark, sf, "geology_files"), _changes(spark, sf), COLUMNS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -49,14 +49,27 @@ def read_record(payload: str | None) -> dict[str, object] | None:
     return got if isinstance(got, dict) else None
 
 
-def _walk(value: object, path: tuple[str, ...], put) -> None:
-    """``put(path, bit of the JSON kind)`` for all that lies below a value; 0 for a JSON null."""
-    inner = value.items() if isinstance(value, dict) else ((ELEMENT, v) for v in value)
-    for name, v in inner:
+def _shape(value: object) -> object:
+    """The form of a value without its scalars: alike for records with the same fields and kinds."""
+    if isinstance(value, dict):
+        kinds = tuple(map(type, value.values()))
+        if dict in kinds or list in kinds:
+            return tuple(value), tuple([_shape(v) if isinstance(v, dict | list) else _BITS.get(type(v), 0) for v in value.values()])
+        return tuple(value), kinds
+    if isinstance(value, list):
+        return frozenset(map(_shape, value))
+    return _BITS.get(type(value), 0)
+
+
+def _fields(shape: object, path: tuple[str, ...], out: dict[tuple[str, ...], int]) -> int:
+    """The bit of the kind of a shape; the kinds of all that lies below it go to ``out``."""
+    if not isinstance(shape, tuple | frozenset):
+        return _BITS.get(shape, 0) if isinstance(shape, type) else shape
+    inner = zip(*shape, strict=True) if isinstance(shape, tuple) else [(ELEMENT, s) for s in shape]
+    for name, s in inner:
         at = (*path, name)
-        put(at, _BITS.get(type(v), 0))
-        if v and isinstance(v, dict | list):
-            _walk(v, at, put)
+        out[at] = out.get(at, 0) | _fields(s, at, out)
+    return _BITS[dict if isinstance(shape, tuple) else list]
 
 
 def _reached(value: object, path: list[str]) -> Iterator[object]:
@@ -86,6 +99,7 @@ def profile(raw: DataFrame, key: str = "feature_code") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, tuple[str, ...]], int] = {}
+        seen: set[tuple[int, object]] = set()
 
         def rows() -> pa.RecordBatch:
             columns = [pa.array([f for f, _ in held], pa.int64()), pa.array([list(p) for _, p in held], pa.list_(pa.string())), pa.array(list(held.values()), pa.int32())]
@@ -96,15 +110,17 @@ def profile(raw: DataFrame, key: str = "feature_code") -> DataFrame:
                 record = read_record(payload)
                 if record:
                     record.pop(key, None)
-
-                    def put(path: tuple[str, ...], bit: int, file_id: int = file_id) -> None:
-                        at = file_id, path
-                        held[at] = held.get(at, 0) | bit
-
-                    _walk(record, (), put)
-            if len(held) > HELD:
+                    shape = file_id, _shape(record)
+                    if shape not in seen:  # the fields of a form are taken down once a file
+                        seen.add(shape)
+                        some: dict[tuple[str, ...], int] = {}
+                        _fields(shape[1], (), some)
+                        for path, bits in some.items():
+                            held[file_id, path] = held.get((file_id, path), 0) | bits
+            if len(held) > HELD or len(seen) > HELD:
                 yield rows()
                 held.clear()
+                seen.clear()
         yield rows()
 
     each = raw.select(F.col("file_id").cast("long"), F.col("payload").cast("string")).where("file_id is not null")
@@ -236,11 +252,11 @@ def top_level(found: DataFrame) -> DataFrame:
 
     A whole field that has moved into another one is removed, one that has moved out is added.
     """
-    old, new = (F.when(F.size(c) == 1, F.get(c, F.lit(0))) for c in ("old_path", "new_path"))
-    whole = found.where((F.size("old_path") <= 1) & (F.size("new_path") <= 1)).select("file_id", "drift_kind", F.coalesce(old, F.lit("")).alias("old_name"), F.coalesce(new, F.lit("")).alias("new_name"))
-    moved = found.where(F.col("drift_kind") == "moved").select("file_id", F.coalesce(old, F.lit("")).alias("old_name"), F.coalesce(new, F.lit("")).alias("new_name"))
-    kind = F.when(F.col("old_name") != "", "removed").when(F.col("new_name") != "", "added")
-    return whole.unionByName(moved.select("file_id", kind.alias("drift_kind"), "old_name", "new_name").where("drift_kind is not null"))
+    whole = (F.size("old_path") <= 1) & (F.size("new_path") <= 1)
+    old, new = (F.when(F.size(c) == 1, F.get(c, F.lit(0))).otherwise("") for c in ("old_path", "new_path"))
+    one_end = F.when(F.size("old_path") == 1, "removed").when(F.size("new_path") == 1, "added")
+    kind = F.when(F.col("drift_kind") == "moved", one_end).when(whole, F.col("drift_kind"))
+    return found.select("file_id", kind.alias("drift_kind"), old.alias("old_name"), new.alias("new_name")).where("drift_kind is not null")
 
 
 def lineage(raw: DataFrame, files: DataFrame, found: DataFrame, columns: list[str], key: str = "feature_code") -> DataFrame:

@@ -3,8 +3,15 @@
 A text is cut into words by the vocabulary's pattern; merges never cross words. Each task
 keeps the ids of the words it has met, and sends the new words of a batch through one
 recursive DuckDB query: rows (word, position, token) are joined with the merge table, every
-word's leftmost pairs of least rank are contracted, and what changed goes round again until
-nothing does. An ordered aggregation turns the rows of the last round into id lists.
+word's leftmost pairs of least rank are contracted, and the words that changed go round
+again until nothing does. Only the newest state of each position is kept (``USING KEY``). An
+ordered aggregation turns it into id lists. DuckDB gets no folder to spill to.
+
+Two things keep long words linear, and both are exact. A word is first cut where no entry of
+the vocabulary that occurs in it spans the place: no merge can ever join its two sides. And
+a pair is contracted as soon as its rank is the least within the length of the longest
+entry to the left and twice that to the right: any token that could take one of its two
+tokens before it would have to be built from pairs of lower rank in that stretch.
 """
 
 from __future__ import annotations
@@ -18,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -30,39 +38,42 @@ _WORD = regex.compile(
     r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 
-_MERGE = """
-WITH RECURSIVE round(word, pos, tok, turn) AS (
-    SELECT word, pos, tok, 0 FROM symbols
+LONG = 64  # words of more bytes are cut first
+LONGEST = 128  # bytes of the longest entry that the windows of the query allow for
+_BUDGET = 500_000  # bytes that go through one query, and fit into 300 MB
+
+_MERGE = f"""
+WITH RECURSIVE state(word, pos, tok) USING KEY (word, pos) AS (
+    SELECT word, pos, tok FROM symbols
     UNION ALL
-    SELECT word, pos, tok, turn + 1 FROM (
-        SELECT word, pos, CASE WHEN taken THEN merged ELSE tok END AS tok, turn,
-               coalesce(lag(taken) OVER w, false) AS swallowed
+    SELECT word, pos, CASE WHEN swallowed THEN NULL WHEN taken THEN merged ELSE tok END AS tok
+    FROM (
+        SELECT *, coalesce(lag(taken) OVER w, false) AS swallowed, bool_or(taken) OVER (PARTITION BY word) AS changed
         FROM (
-            SELECT *, least_here AND (row_number() OVER (PARTITION BY word, island ORDER BY pos)) % 2 = 1 AS taken
+            SELECT *, settled AND (row_number() OVER (PARTITION BY word, island ORDER BY pos)) % 2 = 1 AS taken
             FROM (
-                SELECT *,
-                       CASE WHEN least_here THEN place - row_number() OVER (PARTITION BY word, least_here ORDER BY pos) ELSE -1 - place END AS island
+                SELECT *, bool_and(least_here) OVER (PARTITION BY word, island ORDER BY pos) AS settled
                 FROM (
-                    SELECT *, rank IS NOT NULL AND rank = min(rank) OVER (PARTITION BY word) AS least_here, min(rank) OVER (PARTITION BY word) AS least
+                    SELECT *, rank IS NOT NULL AND rank = least AS least_here, sum(fresh) OVER w AS island
                     FROM (
-                        SELECT p.word, p.pos, p.tok, p.turn, p.place, m.rank, m.merged
+                        SELECT *, (rank IS DISTINCT FROM lag(rank) OVER w OR rank IS NULL)::INT AS fresh,
+                               min(rank) OVER (PARTITION BY word ORDER BY pos RANGE BETWEEN {LONGEST} PRECEDING AND {2 * LONGEST} FOLLOWING) AS least
                         FROM (
-                            SELECT word, pos, tok, turn, lead(tok) OVER v AS following, row_number() OVER v AS place
-                            FROM round WINDOW v AS (PARTITION BY word ORDER BY pos)
-                        ) p LEFT JOIN merges m ON m.lhs = p.tok AND m.rhs = p.following
+                            SELECT p.word, p.pos, p.tok, m.rank, m.merged
+                            FROM (SELECT word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS following FROM state WHERE tok IS NOT NULL) p
+                            LEFT JOIN merges m ON m.lhs = p.tok AND m.rhs = p.following
+                        )
+                        WINDOW w AS (PARTITION BY word ORDER BY pos)
                     )
+                    WINDOW w AS (PARTITION BY word ORDER BY pos)
                 )
-                WHERE least IS NOT NULL
             )
         )
         WINDOW w AS (PARTITION BY word ORDER BY pos)
     )
-    WHERE NOT swallowed
+    WHERE changed
 )
-SELECT word, list(tok ORDER BY pos) AS ids
-FROM (SELECT *, max(turn) OVER (PARTITION BY word) AS final FROM round)
-WHERE turn = final
-GROUP BY word ORDER BY word
+SELECT word, list(tok ORDER BY pos) AS ids FROM state WHERE tok IS NOT NULL GROUP BY word ORDER BY word
 """
 
 
@@ -161,37 +172,96 @@ def vocabulary(path: str) -> dict[str, np.ndarray]:
     }
 
 
+def spellings(table: dict[str, np.ndarray]) -> dict[int, bytes]:
+    """The bytes of every token."""
+    out = {int(i): bytes([b]) for b, i in enumerate(table["bytes"])}
+    for a, b, m in zip(table["lhs"].tolist(), table["rhs"].tolist(), table["merged"].tolist(), strict=True):
+        out[m] = out[a] + out[b]
+    return out
+
+
+def _stretches(raw: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every stretch of ``size`` bytes."""
+    out = np.zeros(len(raw) - size + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            out = out * _BASE + raw[k : len(raw) - size + 1 + k] + np.uint64(1)
+    return out
+
+
+def connection():
+    """A DuckDB of one thread and 300 MB in memory, which never writes to a disk."""
+    import duckdb
+
+    return duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+
+
 class Encoder:
     """Word cache of one task over the recursive query."""
 
     def __init__(self, table: dict[str, np.ndarray]) -> None:
-        import duckdb
-
         self.bytes = table["bytes"]
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
+        self.con = connection()
         merges = pa.table({"lhs": table["lhs"], "rhs": table["rhs"], "rank": np.arange(len(table["lhs"]), dtype=np.int32), "merged": table["merged"]})
         self.con.register("given", merges)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.con.unregister("given")
+        by_size: dict[int, list[bytes]] = {}
+        for entry in spellings(table).values():
+            if len(entry) > 1:
+                by_size.setdefault(len(entry), []).append(entry)
+        if max(by_size, default=0) > LONGEST:
+            raise ValueError(f"an entry of the vocabulary has more than {LONGEST} bytes")
+        self.known = {n: np.unique(np.concatenate([_stretches(np.frombuffer(e, np.uint8), n) for e in some])) for n, some in sorted(by_size.items())}
         self.reset()
 
     def reset(self) -> None:
-        self.slot: dict[str, int] = {}
+        self.slot: dict[str | bytes, int] = {}
         self.flat = np.zeros(0, np.int32)
         self.start = np.zeros(1, np.int64)
 
-    def learn(self, words: list[str]) -> None:
+    def pieces(self, word: bytes) -> list[bytes]:
+        """A long word cut at the places that no entry of the vocabulary spans.
+
+        Entries are recognised by hash; a false one only leaves a cut out.
+        """
+        raw = np.frombuffer(word, np.uint8)
+        spans = np.zeros(len(raw) + 1, np.int32)
+        for n, known in self.known.items():
+            if n <= len(raw):
+                stretch = _stretches(raw, n)
+                at = np.flatnonzero(known[np.minimum(np.searchsorted(known, stretch), len(known) - 1)] == stretch)
+                spans[at + 1] += 1
+                np.add.at(spans, at + n, -1)
+        cut = np.flatnonzero(np.cumsum(spans)[1 : len(raw)] == 0) + 1
+        return [word[a:b] for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(word)], strict=True)]
+
+    def learn(self, words: list[str | bytes]) -> None:
         """Ids of words that are new, in the order given."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        raw = [w.encode("utf-8", "surrogatepass") if isinstance(w, str) else w for w in words]
+        ends = np.cumsum([len(r) for r in raw])
+        first = 0
+        while first < len(raw):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _BUDGET, "right")))
+            last = min(last, first + 5_000)
+            self._learn(words[first:last], raw[first:last])
+            first = last
+
+    def _learn(self, words: list[str | bytes], raw: list[bytes]) -> None:
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         tok = self.bytes[np.frombuffer(b"".join(raw), np.uint8)]
         word = np.repeat(np.arange(len(raw), dtype=np.int32), size)
         pos = (np.arange(len(tok)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+        wide = len(tok) > _BUDGET  # one piece that cannot be cut, such as a million times the same letter
+        if wide:
+            self.con.execute(f"SET memory_limit = '{300 + len(tok) * 800 // 1_000_000}MB'")
         self.con.register("symbols", pa.table({"word": word, "pos": pos, "tok": tok}))
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             ids = self.con.execute(_MERGE).to_arrow_table().column("ids").combine_chunks()
         self.con.unregister("symbols")
+        if wide:
+            self.con.execute("SET memory_limit = '300MB'")
         size = np.diff(ids.offsets.to_numpy())
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
         self.flat = np.concatenate([self.flat, ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
@@ -200,7 +270,7 @@ class Encoder:
             self.slot[w] = first + k
 
     def words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The word numbers of all texts, one after another, and how many each text has."""
+        """The numbers of the words, or pieces of long ones, of all texts, one after another, and how many each text has."""
         if len(self.slot) > MOST_WORDS:
             self.reset()
         points, row = to_codepoints(column)
@@ -224,11 +294,23 @@ class Encoder:
             stop = np.cumsum(size).tolist()
             each = [text[a:b] for a, b in zip([0, *stop], stop, strict=False)]
             n = np.bincount(row[begin], minlength=len(column))
-        fresh = [w for w in each if w not in self.slot]
-        for k in range(0, len(fresh), 5_000):
-            self.learn(fresh[k : k + 5_000])
-        known = np.fromiter(map(self.slot.__getitem__, each), np.int64, len(each))
-        return known[which], n
+        parts: dict[int, list[bytes]] = {}
+        for k, w in enumerate(each):
+            if len(w) * 4 > LONG and len(raw := w.encode("utf-8", "surrogatepass")) > LONG:
+                parts[k] = self.pieces(raw)
+        if not parts:
+            self.learn([w for w in each if w not in self.slot])
+            known = np.fromiter(map(self.slot.__getitem__, each), np.int64, len(each))
+            return known[which], n
+        cut = [parts.get(k) or [w] for k, w in enumerate(each)]
+        self.learn([w for w in dict.fromkeys(w for some in cut for w in some) if w not in self.slot])
+        size = np.fromiter(map(len, cut), np.int64, len(cut))
+        begins = np.cumsum(size) - size
+        known = np.fromiter((self.slot[w] for some in cut for w in some), np.int64, int(size.sum()))
+        many = size[which]
+        at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begins[which], many)
+        ends = np.concatenate([[0], np.cumsum(many)])
+        return known[at], np.diff(ends[np.concatenate([[0], np.cumsum(n)])])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each text has."""
@@ -306,22 +388,21 @@ def decode(df: DataFrame, ident: str, ids: str, path: str | None = None) -> Data
     aggregation. A null list gives null, an empty list an empty text; an id that the
     vocabulary lacks adds nothing.
     """
-    table = vocabulary(path or default_path())
-    spelled: dict[int, bytes] = {int(i): bytes([b]) for b, i in enumerate(table["bytes"])}
-    for a, b, m in zip(table["lhs"].tolist(), table["rhs"].tolist(), table["merged"].tolist(), strict=True):
-        spelled[m] = spelled[a] + spelled[b]
-    shared = df.sparkSession.sparkContext.broadcast(spelled)
+    shared = df.sparkSession.sparkContext.broadcast(spellings(vocabulary(path or default_path())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import duckdb
-
-        con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
+        con = connection()
         con.register("given", pa.table({"id": list(shared.value), "hex": [v.hex() for v in shared.value.values()]}))
         con.execute("CREATE TABLE spelled AS SELECT id::INT AS id, hex FROM given")
         for batch in batches:
-            for k in range(0, max(1, batch.num_rows), 1_000):
-                part = batch.slice(k, 1_000)
+            size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy())])
+            k = 0
+            while k < batch.num_rows or k == 0:  # some texts of together as many tokens as fit into the memory
+                stop = max(k + 1, int(np.searchsorted(size, size[k] + _BUDGET, "right")) - 1)
+                part = batch.slice(k, stop - k)
                 lists = part.column(1)
+                many = int(size[min(stop, batch.num_rows)] - size[k])
+                con.execute(f"SET memory_limit = '{300 + max(0, many - _BUDGET) * 400 // 1_000_000}MB'")
                 con.register("rows", pa.table({"row": np.arange(part.num_rows, dtype=np.int32), "ids": lists}))
                 got = con.execute(
                     "SELECT r.row AS row, string_agg(s.hex, '' ORDER BY pos) AS hex FROM (SELECT row, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM rows) r JOIN spelled s ON s.id = r.id GROUP BY r.row"
@@ -331,8 +412,7 @@ def decode(df: DataFrame, ident: str, ids: str, path: str | None = None) -> Data
                 for row, raw in zip(got.column("row").to_pylist(), got.column("hex").to_pylist(), strict=True):
                     text[row] = bytes.fromhex(raw).decode("utf-8", "replace")
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text, pa.string())], [ident, "text"])
+                k = stop
 
     kind = dict(df.select(ident).dtypes)[ident]
     return df.select(df[ident], df[ids].cast("array<int>").alias("__ids")).mapInArrow(run, f"`{ident}` {kind}, text string")
-
-

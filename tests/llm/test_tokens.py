@@ -2,6 +2,7 @@ import os
 import random
 
 import pyarrow as pa
+import pyarrow.parquet  # noqa: F401
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -52,6 +53,28 @@ def test_any_text_matches(library, texts):
     assert encoded(texts) == [library(t) for t in texts]
 
 
+def test_words_without_end(library, sf):
+    """Long words are cut and encoded in the memory given, and still equal the library's."""
+    rng = random.Random(3)
+    docs = pa.parquet.read_table(f"{sf}/documents.parquet").column("text").to_pylist()
+    run = "".join(c for t in docs for c in t or "" if c.isalpha())[:60_000]
+    code = "".join(rng.choice("ABCDEFGHabcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    texts = [run, code, "x " + "a" * 70_001 + " y", "日本語の文字" * 5_000, "é" * 999, "short"]
+    assert encoded(texts) == [library(t) for t in texts]
+
+
+@given(st.text(st.sampled_from("abcdethinosr"), min_size=65, max_size=400))
+@settings(max_examples=60, deadline=None)
+def test_any_long_word_matches(library, word):
+    assert encoded([word, "a " + word]) == [library(word), library("a " + word)]
+
+
+def test_nothing_is_spilled(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    tokens.Encoder(tokens.vocabulary(path)).learn(["ab" * 200_000])
+    assert os.listdir(tmp_path) == []
+
+
 def test_words_match_the_pattern():
     rng = random.Random(2)
     for _ in range(300):

@@ -8,8 +8,9 @@ pair table. No string method is called per row.
 What is changed
     * wide, narrow and font variants (full-width letters, mathematical alphabets,
       presentation-form ligatures) become the plain letters they stand for;
-    * format characters (zero width, soft hyphen, byte order mark, bidi controls,
+    * format characters (zero width, soft hyphen, byte order mark, bidi controls, tags,
       variation selectors) are dropped;
+    * signs that are another sign under a second code point become that sign;
     * every space separator becomes U+0020;
     * base letter + combining mark becomes the composed letter;
     * Greek and Cyrillic letters that look Latin become Latin when they stand in a word
@@ -47,62 +48,79 @@ LOOKALIKES = {
     "օ": "o", "ս": "u", "ո": "n", "հ": "h", "ɑ": "a", "ɡ": "g",
 }
 
-_LIMIT = 0x20000
+# The tables hold these ranges of code points one after another; all others are kept as they are.
+_RANGES = ((0, 0x20000), (0x2F800, 0x2FA20), (0xE0000, 0xE0200))
+_SIZE = sum(b - a for a, b in _RANGES)
+_OTHER = 0xFFFF  # no character, so nothing happens to it
 _KEEP, _DROP, _SPACE, _REPLACE = 0, 1, 2, 3
 _CONTROL_SPACES = {0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x85, 0x2028, 0x2029}
 
 
+def _place(points: np.ndarray) -> np.ndarray:
+    """The place of each code point in the tables."""
+    out = np.where(points < _RANGES[0][1], points, _OTHER)
+    if (out == _OTHER).any():
+        base = _RANGES[0][1]
+        for a, b in _RANGES[1:]:
+            out = np.where((points >= a) & (points < b), points - a + base, out)
+            base += b - a
+    return out
+
+
 @functools.cache
 def tables() -> dict[str, np.ndarray]:
-    """Lookup tables over code points below 0x20000, made from the Unicode database by rule."""
-    action = np.zeros(_LIMIT, np.uint8)
-    single = np.arange(_LIMIT, dtype=np.uint32)
-    kind = np.zeros(_LIMIT, np.uint8)  # 0 no word, 1 Latin letter, 2 other letter, 3 mark or digit
-    ccc = np.zeros(_LIMIT, np.uint8)
+    """Lookup tables over the ranges of code points that matter, made from the Unicode database by rule."""
+    action = np.zeros(_SIZE, np.uint8)
+    points = np.concatenate([np.arange(a, b, dtype=np.uint32) for a, b in _RANGES])
+    single = points.copy()
+    kind = np.zeros(_SIZE, np.uint8)  # 0 no word, 1 Latin letter, 2 other letter, 3 mark or digit
+    ccc = np.zeros(_SIZE, np.uint8)
     long: dict[int, list[int]] = {}
     pairs: dict[int, int] = {}
     apart: dict[int, list[int]] = {}
-    for cp in range(_LIMIT):
+    for at, cp in enumerate(points.tolist()):
         if 0xD800 <= cp < 0xE000:
             continue
         ch = chr(cp)
         cat = unicodedata.category(ch)
         if cat == "Cn":
             continue
-        ccc[cp] = unicodedata.combining(ch)
+        ccc[at] = unicodedata.combining(ch)
         if cat[0] == "L":
-            kind[cp] = 1 if cp < 0x80 or "LATIN" in unicodedata.name(ch, "") else 2
+            kind[at] = 1 if cp < 0x80 or "LATIN" in unicodedata.name(ch, "") else 2
         elif cat[0] in "MN":
-            kind[cp] = 3
+            kind[at] = 3
         deco = unicodedata.decomposition(ch)
         if cat == "Zs" and cp != 0x20:
-            action[cp] = _SPACE
-        elif cat == "Cf" or 0xFE00 <= cp <= 0xFE0F or cp in (0x115F, 0x1160, 0x3164, 0xFFA0, 0x034F):
-            action[cp] = _DROP
+            action[at] = _SPACE
+        elif cat == "Cf" or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF or cp in (0x115F, 0x1160, 0x3164, 0xFFA0, 0x034F):
+            action[at] = _DROP
         elif deco.startswith(("<wide>", "<narrow>", "<font>")) or (0xFB00 <= cp <= 0xFB06):
             to = [ord(c) for c in unicodedata.normalize("NFKC", ch)]
-            action[cp] = _REPLACE
+            action[at] = _REPLACE
             if len(to) == 1:
-                single[cp] = to[0]
+                single[at] = to[0]
             else:
-                long[cp] = to
+                long[at] = to
         elif deco and deco[0] != "<":
-            apart[cp] = [ord(c) for c in unicodedata.normalize("NFD", ch)]
+            apart[at] = [ord(c) for c in unicodedata.normalize("NFD", ch)]
             two = [int(x, 16) for x in deco.split()]
-            if len(two) == 2 and unicodedata.normalize("NFC", ch) == ch and max(two) < _LIMIT:
+            if len(two) == 1:  # one sign under two code points, such as the kelvin sign
+                action[at], single[at] = _REPLACE, ord(unicodedata.normalize("NFC", ch))
+            elif unicodedata.normalize("NFC", ch) == ch:
                 pairs[two[0] << 21 | two[1]] = cp
-    length = np.ones(_LIMIT, np.int64)
-    long_at = np.zeros(_LIMIT, np.int64)
+    length = np.ones(_SIZE, np.int64)
+    long_at = np.zeros(_SIZE, np.int64)
     flat: list[int] = []
-    for cp, to in long.items():
-        length[cp], long_at[cp] = len(to), len(flat)
+    for at, to in long.items():
+        length[at], long_at[at] = len(to), len(flat)
         flat += to
     length[action == _DROP] = 0
-    apart_length, apart_at, apart_flat = np.ones(_LIMIT, np.int64), np.zeros(_LIMIT, np.int64), []
-    for cp, to in apart.items():
-        apart_length[cp], apart_at[cp] = len(to), len(apart_flat)
+    apart_length, apart_at, apart_flat = np.ones(_SIZE, np.int64), np.zeros(_SIZE, np.int64), []
+    for at, to in apart.items():
+        apart_length[at], apart_at[at] = len(to), len(apart_flat)
         apart_flat += to
-    look = np.zeros(_LIMIT, np.uint32)
+    look = np.zeros(_SIZE, np.uint32)
     for a, b in LOOKALIKES.items():
         look[ord(a)] = ord(b)
     keys = np.array(sorted(pairs), np.int64)
@@ -155,8 +173,7 @@ def canonical(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     changed = np.zeros(n, bool)
     if not len(points):
         return column.cast(pa.large_string()), changed
-    low = np.minimum(points, _LIMIT - 1)
-    low[points >= _LIMIT] = 0xFFFF
+    low = _place(points)
     act = t["action"][low]
     touched = act != _KEEP
     if touched.any():
@@ -182,7 +199,7 @@ def canonical(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def _compose(points: np.ndarray, row: np.ndarray, t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Join combining marks to the letter before them, innermost first, until nothing joins."""
     hit: list[np.ndarray] = []
-    low = np.minimum(points, _LIMIT - 1)
+    low = _place(points)
     ccc = t["ccc"][low]
     if not ccc.any():
         return points, row, np.zeros(0, np.int64)
@@ -195,7 +212,7 @@ def _compose(points: np.ndarray, row: np.ndarray, t: dict[str, np.ndarray]) -> t
         grown = size[at] > 1
         points, row = points[at], row[at]
         points[grown] = t["apart_flat"][t["apart_at"][low[at[grown]]] + within[grown]]
-        ccc = t["ccc"][np.minimum(points, _LIMIT - 1)]
+        ccc = t["ccc"][_place(points)]
     if ((ccc[1:] > 0) & (ccc[:-1] > 0)).any():  # canonical order within each cluster
         cluster = np.cumsum((ccc == 0) | np.concatenate([[True], row[1:] != row[:-1]]))
         order = np.lexsort((np.arange(len(points)), ccc, cluster))
@@ -225,7 +242,7 @@ def _compose(points: np.ndarray, row: np.ndarray, t: dict[str, np.ndarray]) -> t
 
 
 def _lookalikes(points: np.ndarray, row: np.ndarray, t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    low = np.minimum(points, _LIMIT - 1)
+    low = _place(points)
     to = t["look"][low]
     if not to.any():
         return points, np.zeros(0, np.int64)

@@ -33,3 +33,10 @@ def test_latin_text_is_composed_like_nfc(values):
     got = [f for f, _ in form(*values)]
     assert got == [" ".join(x for x in unicodedata.normalize("NFC", v).split(" ") if x) for v in values]
     assert [f for f, _ in form(*got)] == got
+
+
+def test_signs_beyond_the_basic_planes():
+    values = ["ab\U000E0061\U000E0062c", "x\U000E0101y", "\U0002F800", "\u212a", "\U00020000 \U0001F600", "plain"]
+    form, changed = canonical(pa.array(values))
+    assert form.to_pylist() == ["abc", "xy", "\u4e3d", "K", "\U00020000 \U0001F600", "plain"]
+    assert changed.tolist() == [True, True, True, True, False, False]

@@ -1,11 +1,19 @@
-"""Boxes and points against cells: bucketed equi-joins with exact tests."""
+"""Areas and points against cells: equi-joins with exact tests.
+
+Burning works alike for boxes and for polygons or lines: ``within`` says which cells an area
+holds, by default :func:`cells_in_boxes`, else for instance
+``partial(polygons.cells_in_shapes, parts="parts", touched=True)``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKET = 32
+Within = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def _buckets(low: Column, high: Column) -> Column:
@@ -25,22 +33,22 @@ def cells_in_boxes(cells: DataFrame, boxes: DataFrame) -> DataFrame:
     return at.join(placed, ["__bx", "__by"]).where("ix between xmin and xmax and iy between ymin and ymax").drop("__bx", "__by")
 
 
-def burn_mask(cells: DataFrame, boxes: DataFrame) -> DataFrame:
+def burn_mask(cells: DataFrame, areas: DataFrame, within: Within = cells_in_boxes) -> DataFrame:
     """``ix, iy, inside`` for all cells."""
-    hit = cells_in_boxes(cells.select("ix", "iy"), boxes.select("xmin", "ymin", "xmax", "ymax")).select("ix", "iy").distinct()
+    hit = within(cells.select("ix", "iy"), areas).select("ix", "iy").distinct()
     return cells.select("ix", "iy").join(hit.withColumn("inside", F.lit(True)), ["ix", "iy"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
-def burn_code(cells: DataFrame, boxes: DataFrame, code: str, order: list[str]) -> DataFrame:
-    """``ix, iy, code`` for all cells: of the boxes over a cell the one last in ``order``, 0 where there is none."""
-    hit = cells_in_boxes(cells.select("ix", "iy"), boxes)
+def burn_code(cells: DataFrame, areas: DataFrame, code: str, order: list[str], within: Within = cells_in_boxes) -> DataFrame:
+    """``ix, iy, code`` for all cells: of the areas over a cell the one last in ``order``, 0 where there is none."""
+    hit = within(cells.select("ix", "iy"), areas)
     best = hit.groupBy("ix", "iy").agg(F.max_by(code, F.struct(*order)).alias("code"))
     return cells.select("ix", "iy").join(best, ["ix", "iy"], "left").withColumn("code", F.coalesce("code", F.lit(0)))
 
 
-def burn_max(cells: DataFrame, boxes: DataFrame, score: str, fill: float = 0.0) -> DataFrame:
-    """``ix, iy, score`` for all cells: the greatest score of the boxes over it."""
-    best = cells_in_boxes(cells.select("ix", "iy"), boxes).groupBy("ix", "iy").agg(F.max(score).alias("score"))
+def burn_max(cells: DataFrame, areas: DataFrame, score: str, fill: float = 0.0, within: Within = cells_in_boxes) -> DataFrame:
+    """``ix, iy, score`` for all cells: the greatest score of the areas over it."""
+    best = within(cells.select("ix", "iy"), areas).groupBy("ix", "iy").agg(F.max(score).alias("score"))
     return cells.select("ix", "iy").join(best, ["ix", "iy"], "left").withColumn("score", F.coalesce("score", F.lit(fill)))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terracell.sources.tables import table
@@ -50,6 +50,25 @@ def boxes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# An uneven octagon with an octagonal hole, as directions and lengths of its corners.
+CORNERS = ((1.0, 0.25), (0.75, 0.75), (0.125, 1.0), (-0.75, 0.625), (-1.0, 0.0), (-0.625, -0.75), (0.0, -1.0), (0.875, -0.5))
+HOLE = 0.375
+
+
+def shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """``seq, code, score, parts``: polygons with a hole, in cell units, spread over all rows of the grid."""
+    ny = rows(grid(spark, sf))
+    k, r = F.col("p_partkey"), F.col("p_size") / 8
+
+    def ring(scale: float) -> Column:
+        far = [r * (1 + F.pmod(k + j, F.lit(3)) * 0.5) * scale for j in range(len(CORNERS))]
+        return F.array(*[F.array(k * 37 % NX + 0.3 + far[j] * dx, k * 91 % ny + 0.7 + far[j] * dy) for j, (dx, dy) in enumerate(CORNERS)])
+
+    return table(spark, sf, "part").select(
+        k.alias("seq"), (F.col("p_size") % 7 + 1).cast("int").alias("code"), ((F.col("p_size") % 10) / 10).alias("score"), F.array(ring(1.0), ring(HOLE)).alias("parts")
+    )
+
+
 def points(spark: SparkSession, sf: str) -> DataFrame:
     """``seq, px, py, value`` in cell units, spread over all rows of the grid."""
     ny = rows(grid(spark, sf))
@@ -102,6 +121,29 @@ SQL_GRID = f"""grid AS (SELECT (o_orderkey % 125)::INT AS ix, (o_orderkey // 125
 SQL_BOXES = """boxes AS (SELECT p_partkey AS seq, (p_partkey * 37 % 125)::DOUBLE AS xmin, (p_partkey * 91 % ny)::DOUBLE AS ymin,
     p_partkey * 37 % 125 + p_size / 10 AS xmax, p_partkey * 91 % ny + p_size / 10 AS ymax, p_size % 7 + 1 AS code, (p_size % 10) / 10 AS score
     FROM part, (SELECT max(o_orderkey) // 125 + 1 AS ny FROM orders))"""
+SQL_SHAPES = f"""corner AS (SELECT p_partkey AS seq, p_size % 7 + 1 AS code, (p_size % 10) / 10 AS score, ring, j,
+    p_partkey * 37 % 125 + 0.3::DOUBLE + p_size / 8 * (1 + (p_partkey + j) % 3 * 0.5::DOUBLE) * ring * dx AS x,
+    p_partkey * 91 % ny + 0.7::DOUBLE + p_size / 8 * (1 + (p_partkey + j) % 3 * 0.5::DOUBLE) * ring * dy AS y
+    FROM part, (SELECT max(o_orderkey) // 125 + 1 AS ny FROM orders), (VALUES {", ".join(f"({j}, {dx}::DOUBLE, {dy}::DOUBLE)" for j, (dx, dy) in enumerate(CORNERS))}) c(j, dx, dy),
+    (VALUES (1.0::DOUBLE), ({HOLE}::DOUBLE)) r(ring)),
+edge AS (SELECT a.seq, a.code, a.score, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM corner a JOIN corner b ON b.seq = a.seq AND b.ring = a.ring AND b.j = (a.j + 1) % {len(CORNERS)}),
+shape AS (SELECT seq, code, score, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM corner GROUP BY ALL)"""
+
+
+def sql_in_shapes(touched: bool, reach: float = 0.0) -> str:
+    """CTE ``hit``: every (cell, shape), by looking at each edge from each cell of the box around the shape."""
+    near = f"ix BETWEEN floor(xmin) - {reach} AND xmax + {reach} AND iy BETWEEN floor(ymin) - {reach} AND ymax + {reach}"
+    inside = "sum(((y1 > iy + 0.5::DOUBLE) <> (y2 > iy + 0.5::DOUBLE) AND ix + 0.5::DOUBLE < (x2 - x1) * (iy + 0.5::DOUBLE - y1) / nullif(y2 - y1, 0) + x1)::INT) % 2 = 1"
+    t = "greatest(0, least(1, ((ix + 0.5::DOUBLE - x1) * (x2 - x1) + (iy + 0.5::DOUBLE - y1) * (y2 - y1)) / nullif(pow(x2 - x1, 2) + pow(y2 - y1, 2), 0)))"
+    close = f"bool_or(pow(ix + 0.5::DOUBLE - x1 - {t} * (x2 - x1), 2) + pow(iy + 0.5::DOUBLE - y1 - {t} * (y2 - y1), 2) <= {reach * reach})"
+    low, high = "greatest(least(y1, y2), iy)", "least(greatest(y1, y2), iy + 1)"
+    x = lambda y: f"(x1 + (x2 - x1) * ({y} - y1) / nullif(y2 - y1, 0))"
+    touch = f"""bool_or(least(y1, y2) < iy + 1 AND greatest(y1, y2) >= iy AND CASE WHEN y1 = y2 THEN floor(least(x1, x2)) <= ix AND floor(greatest(x1, x2)) >= ix
+        ELSE floor(least({x(low)}, {x(high)})) <= ix AND floor(greatest({x(low)}, {x(high)})) >= ix END)"""
+    rule = f"({inside})" + (f" OR {touch}" if touched else "") + (f" OR {close}" if reach else "")
+    return f"hit AS (SELECT ix, iy, seq, any_value(edge.code) AS code, any_value(edge.score) AS score FROM grid JOIN shape ON {near} JOIN edge USING (seq) GROUP BY ix, iy, seq HAVING {rule})"
+
+
 SQL_POINTS = """points AS (SELECT c_custkey AS seq, (c_custkey * 53 % 125)::DOUBLE AS px, (c_custkey * 29 % ny)::DOUBLE AS py,
     CASE WHEN c_mktsegment = 'BUILDING' THEN 0.9::DOUBLE ELSE 0.75::DOUBLE END AS value FROM customer, (SELECT max(o_orderkey) // 125 + 1 AS ny FROM orders))"""
 SQL_DAYS = """counts AS (SELECT ts::DATE AS day, count(*) FILTER (event_type = 'view') AS nv, count(*) FILTER (event_type = 'error') AS ne,

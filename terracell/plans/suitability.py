@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terracell import fixed
 from terracell.functions import curves
-from terracell.operators import enrich, focal, graph, grid, landcover, model, resolve, spatial, weather
+from terracell.operators import enrich, focal, graph, grid, landcover, model, polygons, resolve, spatial, weather
 from terracell.operators.nearby import valid_position
 from terracell.plans import fixtures as fx
 from terracell.sources.tables import table
@@ -423,6 +424,45 @@ def observation_override(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.first_of_boxes(fx.grid(spark, sf), fx.boxes(spark, sf), "score", "seq")
 
 
+# --- polygons and lines ----------------------------------------------------------------------
+
+_SQL_TOUCHED = f"WITH {fx.SQL_GRID}, {fx.SQL_SHAPES}, {fx.sql_in_shapes(True)}"
+_TOUCHED = partial(polygons.cells_in_shapes, parts="parts", touched=True)
+
+
+@query(_SQL_TOUCHED + " SELECT ix, iy, EXISTS (SELECT 1 FROM hit WHERE hit.ix = grid.ix AND hit.iy = grid.iy) AS inside FROM grid")
+def polygon_mask(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells that any polygon touches."""
+    return spatial.burn_mask(fx.grid(spark, sf), fx.shapes(spark, sf), _TOUCHED)
+
+
+@query(f"WITH {fx.SQL_GRID}, {fx.SQL_SHAPES}, {fx.sql_in_shapes(False)} SELECT ix, iy, EXISTS (SELECT 1 FROM hit WHERE hit.ix = grid.ix AND hit.iy = grid.iy) AS inside FROM grid")
+def polygon_centres(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells whose centre lies in a polygon, outside its hole."""
+    return spatial.burn_mask(fx.grid(spark, sf), fx.shapes(spark, sf), partial(_TOUCHED, touched=False))
+
+
+@query(f"WITH {fx.SQL_GRID}, {fx.SQL_SHAPES}, {fx.sql_in_shapes(False, 1.6)} SELECT ix, iy, EXISTS (SELECT 1 FROM hit WHERE hit.ix = grid.ix AND hit.iy = grid.iy) AS inside FROM grid")
+def polygon_buffer(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells whose centre lies within 16 m of a polygon."""
+    return spatial.burn_mask(fx.grid(spark, sf), fx.shapes(spark, sf), partial(_TOUCHED, touched=False, reach=16.0 / fx.CELL))
+
+
+@query(_SQL_TOUCHED + ", b AS (SELECT ix, iy, max_by(code, (score, seq)) AS code FROM hit GROUP BY ALL) SELECT ix, iy, coalesce(code, 0) AS code FROM grid LEFT JOIN b USING (ix, iy)")
+def polygon_best(spark: SparkSession, sf: str) -> DataFrame:
+    return spatial.burn_code(fx.grid(spark, sf), fx.shapes(spark, sf), "code", ["score", "seq"], _TOUCHED)
+
+
+@query(_SQL_TOUCHED + ", b AS (SELECT ix, iy, max_by(code, seq) AS code FROM hit GROUP BY ALL) SELECT ix, iy, coalesce(code, 0) AS code FROM grid LEFT JOIN b USING (ix, iy)")
+def polygon_last(spark: SparkSession, sf: str) -> DataFrame:
+    return spatial.burn_code(fx.grid(spark, sf), fx.shapes(spark, sf), "code", ["seq"], _TOUCHED)
+
+
+@query(_SQL_TOUCHED + ", b AS (SELECT ix, iy, max(score) AS score FROM hit GROUP BY ALL) SELECT ix, iy, coalesce(b.score, 0)::DOUBLE AS score FROM grid LEFT JOIN b USING (ix, iy)")
+def polygon_max(spark: SparkSession, sf: str) -> DataFrame:
+    return spatial.burn_max(fx.grid(spark, sf), fx.shapes(spark, sf), "score", within=_TOUCHED)
+
+
 @query(
     f"""WITH {fx.SQL_GRID}, {fx.SQL_POINTS}, cur AS (SELECT ix, iy, ((ix + iy) % 10) / 10 AS current FROM grid)
 SELECT ix, iy, min_by(value, seq) AS value FROM cur JOIN points ON pow(ix - px, 2) + pow(iy - py, 2) <= 100 AND current < value GROUP BY ALL"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import unicodedata
 from collections import Counter, defaultdict
@@ -20,14 +21,14 @@ from terracell.functions.textform import canonical
 BIGRAM, TRIGRAM, SKIPGRAM = 0.6, 0.7, 0.45
 UNKNOWN_GRAM = 0.35
 FLOOR, ACCEPT, MARGIN = 0.25, 0.495, 0.02
-MOST_LABELS = 200_000
+BLOCK = 200_000  # entries that are compared with all values at a time
 
 _PARTS = regex.compile(r"\s+[-–—/|©]\s+|[(\[].*|[,;:]|\s§.*")
-_BLANK = regex.compile(r"[^a-z]+")
+_BLANK = regex.compile(r"[^\p{L}\p{N}]+")
 
 
 def normalise(values: list[str]) -> list[str]:
-    """Letters only, in small letters without accents, words parted by one space."""
+    """Letters and digits of all scripts, in small letters without accents, words parted by one space."""
     forms = canonical(pa.array(values, pa.string()))[0].to_pylist()
     out = []
     for form in forms:
@@ -64,36 +65,67 @@ def edits(a: str, b: str) -> int:
     return row[-1]
 
 
+@functools.lru_cache(1 << 16)
+def _letters(word: str) -> int:
+    """The letters of a word as bits; two letters may share one."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) % 61)
+    return bits
+
+
 class Index:
-    """The n-gram inverted index of one list, with the words of its entries."""
+    """The n-gram inverted index of one list, with the words of its entries.
+
+    ``counted``: the numbers of entries, and of entries by n-gram and by word, where the
+    entries are only a block of the list; by default they are counted here.
+    """
 
-    def __init__(self, entries: list[tuple[int, str]]) -> None:
+    def __init__(self, entries: list[tuple[int, str]], counted: tuple[int, dict[str, int], dict[str, int]] | None = None) -> None:
         self.ids = [i for i, _ in entries]
         self.text = normalise([t for _, t in entries])
         vectors = [grams(t) for t in self.text]
-        df = Counter(g for v in vectors for g in v)
-        n = max(1, len(entries))
+        n, df, words = counted or (len(entries), Counter(g for v in vectors for g in v), Counter(w for t in self.text for w in set(t.split())))
+        n = max(1, n)
         self.weight = {g: math.log(1 + n / k) for g, k in df.items()}
         self.unknown = UNKNOWN_GRAM * math.log(1 + n)
-        self.norm = [math.sqrt(sum((m * self.weight[g]) ** 2 for g, m in v.items())) or 1.0 for v in vectors]
+        norm = [math.sqrt(sum((m * self.weight[g]) ** 2 for g, m in v.items())) or 1.0 for v in vectors]
         posting: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for k, v in enumerate(vectors):
             for g, m in v.items():
-                posting[g].append((k, m * self.weight[g] ** 2 / self.norm[k]))
+                posting[g].append((k, m * self.weight[g] / norm[k]))
         self.posting = {g: (np.array([k for k, _ in p]), np.array([w for _, w in p])) for g, p in posting.items()}
-        words = Counter(w for t in self.text for w in set(t.split()))
         self.words = [[(w, math.log(1 + n / words[w]) * min(1.0, len(w) / 4)) for w in t.split()] for t in self.text]
+        self.numbers = any(c.isdigit() for t in self.text for c in t)
         self.likeness: dict[tuple[str, str], float] = {}
 
-    def cosines(self, text: str) -> np.ndarray:
-        score = np.zeros(len(self.ids))
-        size = 0.0
-        for g, m in grams(text).items():
-            size += (m * self.weight.get(g, self.unknown)) ** 2
+    def candidates(self, text: str) -> list[tuple[float, int]]:
+        """(cosine, entry) of every entry whose cosine reaches FLOOR, the greatest first.
+
+        Only the postings of the n-grams of most weight are opened to find entries: the
+        others together are too short a vector to reach FLOOR with any entry of length one.
+        """
+        mine = sorted(((m * self.weight.get(g, self.unknown), g) for g, m in grams(text).items()), reverse=True)
+        size = math.sqrt(sum(w * w for w, _ in mine))
+        if not size:
+            return []
+        rest, opened = size * size, 0
+        while opened < len(mine) and rest > (FLOOR * size) ** 2 * 0.999:
+            rest -= mine[opened][0] ** 2
+            opened += 1
+        met = [self.posting[g][0] for _, g in mine[:opened] if g in self.posting]
+        if not met:
+            return []
+        entry = np.unique(np.concatenate(met))
+        score = np.zeros(len(entry))
+        for w, g in mine:
             if g in self.posting:
-                at, w = self.posting[g]
-                score[at] += m * w
-        return score / math.sqrt(size) if size else score
+                at, theirs = self.posting[g]
+                place = np.minimum(np.searchsorted(at, entry), len(at) - 1)
+                score += np.where(at[place] == entry, w * theirs[place], 0.0)
+        score /= size
+        order = np.flatnonzero(score >= FLOOR)
+        return sorted(zip(score[order].tolist(), entry[order].tolist(), strict=True), key=lambda x: (-x[0], x[1]))
 
     def alike(self, word: str, other: str) -> float:
         got = self.likeness.get((word, other))
@@ -114,32 +146,96 @@ class Index:
         total = got = 0.0
         for other, w in self.words[entry]:
             total += w
-            got += w * max((self.alike(x, other) for x in words), default=0.0)
+            if other in words:
+                got += w
+                continue
+            best, bits = 0.0, _letters(other)
+            for x in words:
+                longest = max(len(x), len(other))
+                apart = _letters(x)
+                least = max(abs(len(x) - len(other)), (apart & ~bits).bit_count(), (bits & ~apart).bit_count())
+                if 1 - 1.2 * least / longest > best or other.startswith(x):  # else the distance is too long to matter
+                    best = max(best, self.alike(x, other))
+            got += w * best
         return got / total if total else 0.0
 
-    def best(self, parts: list[str]) -> tuple[int, float, float]:
-        """(id, score, score of the next other id) over the parts of a value."""
+    def best(self, parts: list[str]) -> list[tuple[int, float]]:
+        """The two best (id, score), of different ids, over the parts of a value; none below FLOOR."""
         scores: dict[int, float] = {}
+        second = 0.0
         for part in dict.fromkeys(parts):
             words = part.split()
-            cosine = self.cosines(part)
-            for k in np.flatnonzero(cosine >= FLOOR):
-                s = (cosine[k] + self.aligned(words, int(k))) / 2
+            if not self.numbers:  # numbers say nothing where the list has none
+                words = [w for w in words if not w.isdigit()]
+                part = " ".join(words)
+            for cosine, k in self.candidates(part):
+                if (cosine + 1) / 2 < second:
+                    break
+                s = (cosine + self.aligned(words, k)) / 2
                 if s > scores.get(self.ids[k], 0.0):
-                    scores[self.ids[k]] = float(s)
-        ranked = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:2] + [(0, 0.0), (0, 0.0)]
-        return ranked[0][0], ranked[0][1], ranked[1][1]
+                    scores[self.ids[k]] = s
+                    second = sorted(scores.values())[-2] if len(scores) > 1 else 0.0
+        return sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:2]
+
 
+def entry_table(labels: DataFrame) -> DataFrame:
+    """The labels and aliases of each field: ``field, ref_id, entry``; nulls and blanks left out."""
+    names = F.array_union(F.array("label"), F.coalesce(F.split("aliases", "[|]"), F.array().cast("array<string>")))
+    each = labels.where("label is not null").select("field", F.col("ref_id").cast("int").alias("ref_id"), F.explode(names).alias("entry"))
+    return each.where(F.length(F.trim("entry")) > 0)
+
+
+def _token_counts(entries: DataFrame) -> DataFrame:
+    """How many entries of a field hold each n-gram and each word: ``field, kind, token, n``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            some: Counter = Counter()
+            for field, text in zip(batch["field"], normalise(list(batch["entry"])), strict=True):
+                some.update((field, "g", g) for g in grams(text))
+                some.update((field, "w", w) for w in set(text.split()))
+            yield pd.DataFrame([(*k, n) for k, n in some.items()], columns=["field", "kind", "token", "n"])
 
-def entry_list(labels: DataFrame) -> dict[str, list[tuple[int, str]]]:
-    """The labels and aliases of each field. Their number is counted first; the list is what is broadcast."""
-    rows = labels.select("field", F.col("ref_id").cast("int"), "label", "aliases").where("label is not null").limit(MOST_LABELS + 1).collect()
-    if len(rows) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels")
-    out: dict[str, list[tuple[int, str]]] = defaultdict(list)
-    for r in sorted(rows, key=lambda r: (r.ref_id, r.label)):
-        out[r.field] += [(r.ref_id, t) for t in [r.label, *(r.aliases or "").split("|")] if t.strip()]
-    return dict(out)
+    return entries.mapInPandas(run, "field string, kind string, token string, n long").groupBy("field", "kind", "token").agg(F.sum("n").alias("n"))
+
+
+def blocks(labels: DataFrame) -> Iterator[dict[str, tuple[list[tuple[int, str]], tuple | None]]]:
+    """The lists in blocks of about BLOCK entries: for each field its entries and the counts over its whole list.
+
+    All entries of one id are in one block. A list that is one block is counted where it is
+    indexed; for a longer one the n-grams and words are counted over the whole list first.
+    """
+    entries = entry_table(labels)
+    sizes = {r["field"]: r["n"] for r in entries.groupBy("field").agg(F.count("*").alias("n")).collect()}
+    parts = max(1, math.ceil(sum(sizes.values()) / BLOCK))
+    counts = _token_counts(entries) if parts > 1 else None
+    for k in range(parts):
+        some = entries.where(F.pmod(F.xxhash64("field", "ref_id"), F.lit(parts)) == k) if parts > 1 else entries
+        found: dict[str, list[tuple[int, str]]] = defaultdict(list)
+        for r in sorted(some.collect(), key=lambda r: (r.ref_id, r.entry)):
+            found[r.field].append((r.ref_id, r.entry))
+        if counts is None:
+            yield {f: (e, None) for f, e in found.items()}
+            continue
+        here = _token_counts(some).where("kind = 'w'").select("field", "kind", "token")
+        counted: dict[str, tuple] = {f: (sizes[f], {}, {}) for f in found}
+        # n-grams of the whole list, bounded by the alphabet, since values are weighed by them; words of the block alone
+        for r in counts.where("kind = 'g'").unionByName(counts.join(here, ["field", "kind", "token"]).select(counts.columns)).collect():
+            if r.field in counted:
+                counted[r.field][1 if r.kind == "g" else 2][r.token] = r.n
+        yield {f: (e, counted[f]) for f, e in found.items()}
+
+
+_indexes: dict[tuple, dict[str, Index]] = {}
+
+
+def _index_of(ident: int, lists: dict[str, tuple]) -> dict[str, Index]:
+    """The indexes of a broadcast block, built once a process."""
+    key = ident, tuple((f, len(e), hash(tuple(e))) for f, (e, _) in sorted(lists.items()))
+    if key not in _indexes:
+        _indexes.clear()
+        _indexes[key] = {f: Index(e, counted) for f, (e, counted) in lists.items()}
+    return _indexes[key]
 
 
 def match_values(values: DataFrame, labels: DataFrame) -> DataFrame:
@@ -150,12 +246,31 @@ def match_values(values: DataFrame, labels: DataFrame) -> DataFrame:
     the entries whose n-grams they share, by the mean of the weighted cosine and of the
     word alignment; the best entry is taken if it reaches ACCEPT and is MARGIN above the
     next, else ``ref_id`` is 0. Ties therefore give 0. Null or blank texts and fields
-    without entries give 0; texts of any length are compared whole.
+    without entries give 0; texts of any length are compared whole. Letters and digits of
+    all scripts count, but words of digits only where the list has digits itself.
+
+    Lists of any length: every block of at most about BLOCK entries is broadcast and
+    compared with all values, and the two best of all blocks decide. Values are spread over
+    tasks by number, since the work is in the comparing and not in the bytes.
     """
-    shared = values.sparkSession.sparkContext.broadcast(entry_list(labels))
+    context = values.sparkSession.sparkContext
+    spread = values.select("field", "value", "text").repartition(2 * context.defaultParallelism, "field", "value")
+    found = None
+    for number, lists in enumerate(blocks(labels)):
+        best = spread.mapInPandas(_compare(context.broadcast(lists), number), "field string, value string, ref_id int, score double, runner_up double, other int")
+        found = best if found is None else found.unionByName(best)
+    if number:
+        pair = F.array(F.struct("score", (-F.col("ref_id")).alias("r")), F.struct(F.col("runner_up").alias("score"), (-F.col("other")).alias("r")))
+        top = F.sort_array(F.flatten(F.collect_list(pair)), asc=False)
+        first, second = F.get("top", F.lit(0)), F.get("top", F.lit(1))
+        found = found.groupBy("field", "value").agg(top.alias("top")).select("field", "value", (-first["r"]).alias("ref_id"), first["score"].alias("score"), second["score"].alias("runner_up"))
+    sure = (F.col("score") >= ACCEPT) & (F.col("score") - F.col("runner_up") >= MARGIN)
+    return found.select("field", "value", F.when(sure, F.col("ref_id")).otherwise(0).alias("ref_id"), "score", "runner_up")
+
 
+def _compare(shared, number: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = {f: Index(e) for f, e in shared.value.items()}
+        index = _index_of(number, shared.value)
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             pieces = [[t, *(p for p in _PARTS.split(t) if p and len(p.strip()) >= 3)] for t in texts]
@@ -164,10 +279,10 @@ def match_values(values: DataFrame, labels: DataFrame) -> DataFrame:
             for f, some in zip(batch["field"], pieces, strict=True):
                 parts = [p for p in flat[at : at + len(some)] if p]
                 at += len(some)
-                ref, score, second = index[f].best(parts) if f in index and parts else (0, 0.0, 0.0)
-                found.append((ref if score >= ACCEPT and score - second >= MARGIN else 0, score, second))
-            yield pd.DataFrame(
-                {"field": batch["field"], "value": batch["value"], "ref_id": [x[0] for x in found], "score": [x[1] for x in found], "runner_up": [x[2] for x in found]}
-            )
+                top = index[f].best(parts) if f in index and parts else []
+                (ref, score), (other, second) = (top + [(0, 0.0), (0, 0.0)])[:2]
+                found.append((ref, score, second, other))
+            ref, score, second, other = zip(*found, strict=True) if found else ((),) * 4
+            yield pd.DataFrame({"field": batch["field"], "value": batch["value"], "ref_id": ref, "score": score, "runner_up": second, "other": other})
 
-    return values.select("field", "value", "text").mapInPandas(run, "field string, value string, ref_id int, score double, runner_up double")
+    return run

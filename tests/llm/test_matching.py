@@ -46,3 +46,46 @@ def test_long_and_empty(spark, match):
 
 def test_edit_distance():
     assert [matching.edits(*p) for p in (("abc", "abc"), ("abc", "acb"), ("", "ab"), ("kitten", "sitting"))] == [0, 1, 2, 3]
+
+
+CODES = [(1, "c", "FF1-09-09", None), (2, "c", "FF2-09-09", None), (3, "c", "FF1-10-10", None), (4, "c", "Сосна обыкновенная", None), (5, "c", "松林", "混交林")]
+
+
+def test_digits_and_other_scripts_tell_entries_apart(spark):
+    labels = spark.createDataFrame(CODES, "ref_id int, field string, label string, aliases string")
+    values = ["ff1 09 09", "FF2-09-09", "FF1_10_10", "сосна обыкн.", "松林", "混交林", "FF9-77-77"]
+    df = spark.createDataFrame([("c", v, v) for v in values], "field string, value string, text string")
+    assert {r.value: r.ref_id for r in matching.match_values(df, labels).collect()} == dict(zip(values, (1, 2, 3, 4, 5, 5, 0), strict=True))
+
+
+def test_numbers_beside_a_list_without_numbers(match):
+    assert match("Hêtre 2019", "Hêtre") == {"Hêtre 2019": 1, "Hêtre": 1}
+
+
+def test_lists_longer_than_a_block(spark, match, monkeypatch):
+    values = ["hetre", "fayard", "Chêne", "chene sess.", "pin nior", "xxxx", "", "Grès verdâtres"]
+    labels = spark.createDataFrame(LABELS, "ref_id int, field string, label string, aliases string")
+    df = spark.createDataFrame([("f", v, v) for v in values], "field string, value string, text string")
+
+    def found():
+        return {r.value: (r.ref_id, round(r.score, 9), round(r.runner_up, 9)) for r in matching.match_values(df, labels).collect()}
+
+    whole = found()
+    monkeypatch.setattr(matching, "BLOCK", 2)
+    assert found() == whole
+
+
+def test_candidates_equal_the_whole_comparison():
+    names = ["pin noir", "pin sylvestre", "pin à crochets", "sapin", "sapin pectiné", "hêtre", "chêne sessile", "chêne vert", "a", "frêne"]
+    index = matching.Index(list(enumerate(names)))
+    for text in ("pin", "sapn pectine", "chene", "pn nor", "zzz", "frene hetre", "a b c"):
+        mine = {g: m * index.weight.get(g, index.unknown) for g, m in matching.grams(text).items()}
+        size = sum(w * w for w in mine.values()) ** 0.5
+        want = {}
+        for k, name in enumerate(index.text):
+            theirs = {g: m * index.weight[g] for g, m in matching.grams(name).items()}
+            norm = sum(w * w for w in theirs.values()) ** 0.5
+            cosine = sum(w * theirs.get(g, 0.0) for g, w in mine.items()) / size / norm
+            if cosine >= matching.FLOOR:
+                want[k] = cosine
+        assert dict((k, pytest.approx(c)) for c, k in index.candidates(text)) == want

@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terracell.functions.checkpoint import cut
 from terracell.functions.textform import to_codepoints
 
 DIMENSIONS = 8192
 SAMPLE_DOCUMENTS = 4_000
 UNIT_LETTERS = 70
 SWITCH_SENTENCE, SWITCH_WITHIN = 3.0, 8.0
-LEAST_LETTERS, LEAST_CONFIDENCE = 24, 0.9
+LEAST_LETTERS, LEAST_CONFIDENCE = 12, 0.9
 
 # Notations of a language in labels, in small letters.
 NOTATIONS = {
@@ -193,47 +194,76 @@ def best_path(evidence: np.ndarray, of: np.ndarray, sentence: np.ndarray) -> np.
     return label
 
 
-def train(texts: list[str], labels: list[str], rounds: int = 3) -> np.ndarray:
+def training_sample(df: DataFrame, ident: str, text: str, label: str, documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
+    """``text, named``: about ``documents`` labelled texts, those of least hash of their id; a bounded, fixed sample.
+
+    The labelled texts are counted; then the hash of the last one is found among the hashes
+    under a limit that lets about half as many again through. Texts stay in the executors.
+    """
+    named = F.array_position(F.array(*map(F.lit, LANGUAGES)), named_language(df[label])).cast("int") - 1
+    rows = df.select(F.xxhash64(df[ident]).alias("turn"), df[text].cast("string").alias("text"), named.alias("named"))
+    rows = rows.where(F.col("named").isNotNull() & (F.length("text") > 0))
+    share = min(1.0, (1.5 * documents + 500) / max(1, rows.count()))
+    if share < 1.0:
+        rows = rows.where(F.col("turn") < int(-(2**63) + share * 2**64))
+    last = rows.select("turn").orderBy("turn").limit(documents).agg(F.max("turn")).first()[0]
+    context = df.sparkSession.sparkContext
+    return cut(rows.where(F.col("turn") <= F.lit(last).cast("long")).select("text", "named").repartition(2 * context.defaultParallelism))
+
+
+def _over_units(sample: DataFrame, fields: str, work):
+    """Runs ``work(units, named of each unit)`` over some texts at a time; it gives columns for ``fields``."""
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                part = batch.slice(k, 200)
+                units = Units(part.column(0))
+                if len(units.code):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in work(units, part.column(1).to_numpy()[units.of])], names)
+
+    return sample.mapInArrow(run, fields)
+
+
+def train(sample: DataFrame, rounds: int = 3) -> np.ndarray:
     """The product table, scaled to nats, from labelled texts of which some are wrong or mixed.
 
     The first prototypes believe the labels; then each unit is taken for the language that
     the best path through its text gives it, and the prototypes are bundled again. The
-    table is scaled so that a trigram is worth a quarter of a nat at the median margin.
+    table is scaled so that a trigram is worth a quarter of a nat at the median margin. The
+    executors count trigrams by language and find the median; the driver holds the table.
     """
-    units = Units(pa.array(texts, pa.string()))
-    n = len(LANGUAGES)
-    counts = np.zeros((SYMBOLS**3, n))
-    if not len(units.code):
-        return counts.astype(np.float32)
-    label = np.array([LANGUAGES.index(x) for x in labels])[units.of]
-    table = counts
-    size = np.maximum(np.bincount(units.whose, minlength=len(units.begin)), 1)
+    n, context = len(LANGUAGES), sample.sparkSession.sparkContext
+    shared = None
+    table = np.zeros((SYMBOLS**3, n), np.float32)
     for _ in range(rounds):
-        counts = np.bincount(units.code * n + label[units.whose], minlength=SYMBOLS**3 * n).reshape(-1, n).astype(float)
-        table = products(counts)
-        evidence = units.evidence(table)
-        ranked = np.sort(evidence, 1)
-        margin = (ranked[:, -1] - ranked[:, -2]) / size
-        table *= 0.25 / max(float(np.median(margin[size >= 15])) if (size >= 15).any() else 0.25, 1e-6)
-        label = best_path(units.evidence(table), units.of, units.sentence)
+        believed = shared
+
+        def counted(units: Units, named: np.ndarray, believed=believed) -> list:
+            label = named if believed is None else best_path(units.evidence(believed.value), units.of, units.sentence)
+            slot, many = np.unique(units.code * n + label[units.whose], return_counts=True)
+            return [slot, many]
+
+        rows = _over_units(sample, "slot bigint, many bigint", counted).groupBy("slot").agg(F.sum("many").alias("many")).toArrow()
+        if not rows.num_rows:
+            return table
+        counts = np.zeros(SYMBOLS**3 * n)
+        counts[rows.column("slot").to_numpy()] = rows.column("many").to_numpy()
+        table = products(counts.reshape(-1, n))
+        bundled = context.broadcast(table)
+
+        def margins(units: Units, named: np.ndarray, bundled=bundled) -> list:
+            size = np.bincount(units.whose, minlength=len(units.begin))
+            ranked = np.sort(units.evidence(bundled.value)[size >= 15], 1)
+            return [(ranked[:, -1] - ranked[:, -2]) / size[size >= 15]]
+
+        median = _over_units(sample, "margin double", margins).agg(F.median("margin")).first()[0]
+        table *= 0.25 / max(0.25 if median is None else median, 1e-6)
+        shared = context.broadcast(table)
     return table
 
 
-def training_sample(df: DataFrame, ident: str, text: str, label: str, documents: int = SAMPLE_DOCUMENTS) -> tuple[list[str], list[str]]:
-    """At most ``documents`` labelled texts, those of least hash of their id: a bounded, fixed sample.
-
-    The labelled texts are counted first; then only rows under a hash limit that lets
-    about half as many again through are sorted, so no task sends more than its share.
-    """
-    rows = df.select(F.xxhash64(df[ident]).alias("turn"), df[ident].alias("id"), df[text].cast("string").alias("text"), named_language(df[label]).alias("named"))
-    rows = rows.where(F.col("named").isNotNull() & (F.length("text") > 0))
-    share = min(1.0, (1.5 * documents + 500) / max(1, rows.count()))
-    if share < 1.0:
-        rows = rows.where(F.col("turn") < int(-(2**63) + share * 2**64))
-    taken = rows.orderBy("turn", "id").limit(documents).collect()
-    return [r.text for r in taken], [r.named for r in taken]
-
-
 _SEGMENT = "segment int, begins bigint, characters bigint, letters bigint, sentences int, lang string, confidence double"
 
 
@@ -243,14 +273,14 @@ def segments(df: DataFrame, ident: str, text: str, label: str, documents: int =
     ``ident, segment, begins, characters, letters, sentences, lang, confidence``: stretches
     are counted from 0 and lie one after another through the whole text; ``sentences`` is
     the number of sentences (or lines) that begin in them. ``confidence`` is the share of
-    the language under a softmax of the evidence of all trigrams of the stretch. A stretch
-    with fewer than LEAST_LETTERS letters in a text with no other language has language
-    null and confidence 0. Null and empty texts have no stretch. The profiles are trained
+    the language under a softmax of the evidence of all trigrams of the stretch: short
+    stretches have a language too, and a low confidence. Only a stretch without a trigram of
+    letters that the profiles know has language null and confidence 0. Null and empty texts
+    have no stretch. The profiles are trained
     on a bounded sample of the labelled rows (``documents``); every text is read whole, and
     its own label plays no part. Without any labelled text all languages are null.
     """
-    texts, labels = training_sample(df, ident, text, label, documents)
-    shared = df.sparkSession.sparkContext.broadcast(train(texts, labels))
+    shared = df.sparkSession.sparkContext.broadcast(train(training_sample(df, ident, text, label, documents)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -275,7 +305,7 @@ def segments(df: DataFrame, ident: str, text: str, label: str, documents: int =
                 text_begin = np.repeat(begins[first_of], many)
                 shifted = np.exp(total - total.max(1, keepdims=True))
                 sure = shifted[np.arange(len(fresh)), lang[fresh]] / shifted.sum(1)
-                known = (letters >= LEAST_LETTERS) & (sure >= 0.5) & (np.abs(total).sum(1) > 0)
+                known = np.abs(total).sum(1) > 0
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(pa.array(of)),
@@ -294,14 +324,22 @@ def segments(df: DataFrame, ident: str, text: str, label: str, documents: int =
     return df.select(df[ident], df[text].cast("string").alias("__text")).mapInArrow(run, f"`{ident}` {kind}, {_SEGMENT}")
 
 
-def document_languages(found: DataFrame, ident: str) -> DataFrame:
-    """The main language of each text (most letters) and all that it has: ``ident, lang_main, confidence, languages``."""
-    sure = F.col("lang").isNotNull() & (F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("sentences") >= 1)
+def document_languages(df: DataFrame, found: DataFrame, ident: str) -> DataFrame:
+    """The main language of each text (most letters) and all that it has: ``ident, lang_main, confidence, languages``.
+
+    One row for every row of ``df``; a text that is null, empty or without letters has no
+    main language, confidence 0 and an empty list. A language is listed if a stretch of it
+    holds the beginning of a sentence and at least LEAST_LETTERS letters, and reaches
+    LEAST_CONFIDENCE.
+    """
+    sure = (F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("sentences") >= 1) & (F.col("letters") >= LEAST_LETTERS)
     each = found.where("lang is not null").groupBy(ident, "lang").agg(
         F.sum("letters").alias("letters"), F.max("confidence").alias("confidence"), F.max(sure).alias("sure")
     )
-    return each.groupBy(ident).agg(
+    known = each.groupBy(ident).agg(
         F.max_by("lang", F.struct("letters", "lang")).alias("lang_main"),
         F.max_by("confidence", F.struct("letters", "lang")).alias("confidence"),
         F.sort_array(F.collect_set(F.when(F.col("sure"), F.col("lang")))).alias("languages"),
     )
+    none = F.array().cast("array<string>")
+    return df.select(df[ident]).join(known, ident, "left").withColumns({"confidence": F.coalesce("confidence", F.lit(0.0)), "languages": F.coalesce("languages", none)})

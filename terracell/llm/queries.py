@@ -132,7 +132,7 @@ def p10_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p10_languages(spark: SparkSession, sf: str) -> DataFrame:
-    return language.document_languages(p10_segments(spark, sf), "doc_id")
+    return language.document_languages(table(spark, sf, "documents"), p10_segments(spark, sf), "doc_id")
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:

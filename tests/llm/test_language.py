@@ -43,8 +43,9 @@ def test_products_are_the_cosines_of_bundles():
 def test_held_out_accuracy(spark, documents):
     """Trained on one half of the labelled texts, right on the other (labels are wrong for about one text in twenty)."""
     train = documents.where("doc_id % 2 = 0")
-    texts, labels = language.training_sample(train, "doc_id", "text", "lang", 400)
-    table = language.train(texts, labels)
+    sample = language.training_sample(train, "doc_id", "text", "lang", 400)
+    assert 0 < sample.count() <= 400
+    table = language.train(sample)
     test = documents.where("doc_id % 2 = 1").withColumn("named", language.named_language(F.col("lang"))).where("named is not null and length(text) > 40").collect()
     units = language.Units(pa.array([r.text for r in test]))
     path = language.best_path(units.evidence(table), units.of, units.sentence)
@@ -67,8 +68,16 @@ def test_segments_of_a_mixed_text(spark, documents):
     assert 1 not in found and 2 not in found
     assert [(r.lang, r.confidence) for r in found[3]] == [(None, 0.0)]
     assert [r.lang for r in found[4]] == ["fr"] and [r.lang for r in found[5]] == ["fr"]
-    main = {r.doc_id - 10**9: (r.lang_main, r.languages) for r in language.document_languages(language.segments(df, "doc_id", "text", "lang", 600), "doc_id").where("doc_id >= 1000000000").collect()}
-    assert main[0] == ("fr", ["en", "fr"]) and 3 not in main
+    main = {r.doc_id - 10**9: (r.lang_main, r.languages) for r in language.document_languages(df, language.segments(df, "doc_id", "text", "lang", 600), "doc_id").where("doc_id >= 1000000000").collect()}
+    assert main[0] == ("fr", ["en", "fr"]) and main[1] == main[2] == main[3] == (None, [])
+    assert len(main) == len(extra)
+
+
+def test_short_texts_have_a_language_and_a_low_confidence(spark, documents):
+    df = documents.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(10**9, "the", ""), (10**9 + 1, "le bois", ""), (10**9 + 2, "La strada è chiusa. Oui.", "")], "doc_id bigint, text string, lang string"))
+    got = {r.doc_id - 10**9: r for r in language.document_languages(df, language.segments(df, "doc_id", "text", "lang", 600), "doc_id").where("doc_id >= 1000000000").collect()}
+    assert got[0].lang_main == "en" and got[0].languages == [] and got[1].lang_main == "fr" and got[1].languages == []
+    assert 0 < got[0].confidence < got[2].confidence and got[2].lang_main == "it"
 
 
 def test_empty_and_unlabelled(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ from terracell.functions.geometry import BoxTree, ear_clip, in_triangles, regula
 EARTH_M = 6_371_008.8
 CELL_M = 500.0
 HOT_CELL = 20_000
+FEW_CELLS = 100_000  # crowded cells that are broadcast at most
 
 
 def valid_position(lat: Column, lon: Column) -> Column:
@@ -27,7 +29,7 @@ def _key(x: Column, y: Column, z: Column) -> Column:
     return part[0] * 1_600_000_000 + part[1] * 40_000 + part[2]
 
 
-def _pairs_in(cell: np.ndarray, home: np.ndarray, ident: np.ndarray, lat: np.ndarray, lon: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+def _pairs_in(cell: np.ndarray, home: np.ndarray, ident: np.ndarray, lat: np.ndarray, lon: np.ndarray, radius: float, side: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (owner of a region, point in it) of rows of the same cell."""
     la, lo = np.radians(lat), np.radians(lon)
     xyz = np.column_stack([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)]) * EARTH_M
@@ -36,7 +38,7 @@ def _pairs_in(cell: np.ndarray, home: np.ndarray, ident: np.ndarray, lat: np.nda
     _, first, rank = np.unique(cell, return_index=True, return_inverse=True)
     # each cell gets its own stretch of the first axis, so that one hierarchy serves all cells of the batch
     placed = xyz - xyz[first][rank]
-    placed[:, 0] += rank * (8 * CELL_M)
+    placed[:, 0] += rank * (8 * side)
     outline = regular_polygon(radius * (1 + 1e-6) + 1e-3)
     triangle = outline[ear_clip(outline)]
     reach = np.abs(outline).max() + 1e-3
@@ -66,14 +68,20 @@ def _pairs_in(cell: np.ndarray, home: np.ndarray, ident: np.ndarray, lat: np.nda
     return np.concatenate(found_a or [np.zeros(0, np.int64)]), np.concatenate(found_b or [np.zeros(0, np.int64)])
 
 
-def _near_batches(radius: float):
+def _fresh(table: pa.Table) -> np.ndarray:
+    """Where another cell, or another part of a cell, begins."""
+    cell, part = table.column("cell").to_numpy(), table.column("part").to_numpy()
+    return np.concatenate([[True], (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])])
+
+
+def _near_batches(radius: float, side: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
 
         def work(table: pa.Table) -> pa.RecordBatch:
             col = lambda n: table.column(n).to_numpy()
-            a, b = _pairs_in(col("cell"), col("home"), col("id"), col("lat"), col("lon"), radius)
+            a, b = _pairs_in(np.cumsum(_fresh(table)), col("home"), col("id"), col("lat"), col("lon"), radius, side)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["id_a", "id_b"])
 
         for batch in batches:
@@ -84,8 +92,7 @@ def _near_batches(radius: float):
             if rows < 50_000:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
-            cell = table.column("cell").to_numpy()
-            cut = int(np.searchsorted(cell, cell[-1]))  # rows come in order of cell; the last cell may go on
+            cut = int(np.flatnonzero(_fresh(table))[-1])  # rows come in order of cell; the last cell may go on
             if cut:
                 yield work(table.slice(0, cut))
                 table = table.slice(cut)
@@ -109,18 +116,19 @@ def pairs_within(df: DataFrame, ident: str, lat: str, lon: str, radius_m: float)
     need no care. Rows without valid coordinates take part in nothing; rows with the same
     coordinates and different ids are pairs; a null id takes no part; repeated rows with the
     same id are no pair with each other. Cells with more than 20 000 rows are split: their
-    looking-up rows go to several tasks, each with a copy of the triangles of the cell.
+    looking-up rows go to several tasks, each with a copy of the triangles of the cell. The
+    cells are 500 m wide, or five times the radius where that is more; the radius is meant to be
+    small against the sphere (up to some ten kilometres), since circles are laid out flat.
     """
-    if radius_m * 1.2 >= CELL_M / 2:
-        raise ValueError("the radius must be under 200 m")
+    side = max(CELL_M, 5 * radius_m)
     la, lo = F.radians(F.col("lat")), F.radians(F.col("lon"))
-    scale = EARTH_M / CELL_M
+    scale = EARTH_M / side
     rows = (
         df.select(df[ident].cast("long").alias("id"), df[lat].cast("double").alias("lat"), df[lon].cast("double").alias("lon"))
         .where(valid_position(F.col("lat"), F.col("lon")) & F.col("id").isNotNull())
         .withColumns({"x": F.cos(la) * F.cos(lo) * scale, "y": F.cos(la) * F.sin(lo) * scale, "z": F.sin(la) * scale})
     )
-    reach = radius_m * 1.2 / CELL_M
+    reach = radius_m * 1.2 / side
     around = F.array_distinct(
         F.array(
             *[
@@ -134,31 +142,45 @@ def pairs_within(df: DataFrame, ident: str, lat: str, lon: str, radius_m: float)
     rows = rows.withColumn("own", _key(F.col("x"), F.col("y"), F.col("z")))
     hot = rows.groupBy(F.col("own").alias("cell")).count().where(F.col("count") > HOT_CELL).select("cell", F.ceil(F.col("count") / HOT_CELL).cast("int").alias("parts"))
     placed = rows.select("id", "lat", "lon", "own", F.explode(around).alias("cell")).select("id", "lat", "lon", "cell", (F.col("own") == F.col("cell")).alias("home"))
-    parts = placed.join(hot, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    turn = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    parts = parts.select(
-        "id", "lat", "lon", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "home", turn.alias("turn")
-    ).select("id", "lat", "lon", (F.col("cell") * 4096 + F.pmod("part", F.lit(4096))).alias("cell"), (F.col("home") & (F.col("turn") == F.col("part"))).alias("home"))
-    return parts.repartition("cell").sortWithinPartitions("cell").mapInArrow(_near_batches(radius_m), "id_a bigint, id_b bigint")
+    few = hot.limit(FEW_CELLS + 1).collect()
+    if not few:
+        parts = placed.withColumn("part", F.lit(0))
+    else:
+        if len(few) <= FEW_CELLS:  # else the join shuffles both sides
+            hot = F.broadcast(df.sparkSession.createDataFrame(few, hot.schema))
+        parts = placed.join(hot, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        turn = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+        parts = parts.select("id", "lat", "lon", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "home", turn.alias("turn"))
+        parts = parts.select("id", "lat", "lon", "cell", "part", (F.col("home") & (F.col("turn") == F.col("part"))).alias("home"))
+    return parts.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_near_batches(radius_m, side), "id_a bigint, id_b bigint")
 
 
 def regions_of_points(
-    points: DataFrame, ident: str, x: str, y: str, regions: DataFrame, region_id: str, corners: str, most_regions: int = 50_000
+    points: DataFrame, ident: str, x: str, y: str, regions: DataFrame, region_id: str, corners: str, block: int = 50_000
 ) -> DataFrame:
     """The regions that hold each point: ``point_id, region_id``, borders included.
 
     ``corners`` of ``regions`` is an array of (x, y) structs or two-element arrays, the
     outline of a simple polygon. The polygons are ear-clipped into triangles and put into
-    one bounding-volume hierarchy that every task gets; their number is counted first and
-    must not pass ``most_regions`` (beyond it, call the operator once per part of the
-    regions). A point on the border of two triangles of a region is assigned to it once, a
-    point on the border of two regions to both. Null ids or coordinates give no row, null or
-    degenerate outlines hold nothing.
+    a bounding-volume hierarchy that every task gets by broadcast; they are counted first,
+    and more than ``block`` of them go against the points in blocks of about that many. A
+    point on the border of two triangles of a region is assigned to it once, a point on the
+    border of two regions to both, since regions may overlap. Null ids or coordinates give
+    no row, null or degenerate outlines hold nothing.
     """
-    known = regions.select(regions[region_id].cast("string"), regions[corners].cast("array<array<double>>")).where(F.size(regions[corners]) >= 3)
-    taken = known.limit(most_regions + 1).collect()
-    if len(taken) > most_regions:
-        raise ValueError(f"more than {most_regions} regions")
+    known = regions.select(regions[region_id].cast("string").alias("name"), regions[corners].cast("array<array<double>>").alias("outline")).where(F.size("outline") >= 3)
+    at = points.select(points[ident].cast("long").alias("point_id"), points[x].cast("double").alias("x"), points[y].cast("double").alias("y")).dropna()
+    blocks = max(1, math.ceil(known.count() / block))
+    found = None
+    for k in range(blocks):
+        some = known.where(F.pmod(F.xxhash64("name", "outline"), F.lit(blocks)) == k) if blocks > 1 else known
+        part = at.mapInPandas(_regions_at(points.sparkSession.sparkContext.broadcast(_triangles(some.collect()))), "point_id bigint, region_id string")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _triangles(taken: list) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Names of regions, the triangles of all of them, and the number of the region of each."""
     names, shapes, owner = [], [], []
     for name, outline in taken:
         polygon = np.array(outline, float)
@@ -166,10 +188,12 @@ def regions_of_points(
         shapes.append(polygon[cut].reshape(-1, 3, 2))
         owner += [len(names)] * len(cut)
         names.append(name)
-    triangle = np.concatenate(shapes or [np.zeros((0, 3, 2))])
-    whose = np.array(owner, np.int64)
+    return names, np.concatenate(shapes or [np.zeros((0, 3, 2))]), np.array(owner, np.int64)
+
 
+def _regions_at(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, triangle, whose = shared.value
         tree = BoxTree(triangle.min(1), triangle.max(1))
         for batch in batches:
             at = batch[["x", "y"]].to_numpy(float)
@@ -178,11 +202,7 @@ def regions_of_points(
             both = np.unique(np.column_stack([who[inside], whose[box[inside]]]), axis=0)
             yield pd.DataFrame({"point_id": batch["point_id"].to_numpy()[both[:, 0]], "region_id": pd.Series([names[k] for k in both[:, 1]], dtype=object)})
 
-    return (
-        points.select(points[ident].cast("long").alias("point_id"), points[x].cast("double").alias("x"), points[y].cast("double").alias("y"))
-        .dropna()
-        .mapInPandas(run, "point_id bigint, region_id string")
-    )
+    return run
 
 
 def box_corners(west: str, south: str, east: str, north: str) -> Column:

@@ -51,9 +51,12 @@ def test_same_id_twice_is_no_pair(spark):
     assert rows(nearby.pairs_within(frame(spark, [(1, 45.0, 5.0), (1, 45.0, 5.0)]), "checkpoint_id", "lat", "lon", 15.0)) == []
 
 
-def test_radius_is_bounded(spark):
-    with pytest.raises(ValueError):
-        nearby.pairs_within(frame(spark, []), "checkpoint_id", "lat", "lon", 500.0)
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_wide_radius_and_many_crowded_cells(spark, monkeypatch, few):
+    monkeypatch.setattr(nearby, "HOT_CELL", 20)
+    monkeypatch.setattr(nearby, "FEW_CELLS", few)
+    crowd = [(k, 45.0 + (k % 12) * 2e-3, 5.0 + (k // 12) * 3e-3) for k in range(1, 121)]
+    assert rows(nearby.pairs_within(frame(spark, crowd), "checkpoint_id", "lat", "lon", 800.0)) == brute(crowd, 800.0)
 
 
 def test_regions(spark):
@@ -66,6 +69,13 @@ def test_regions(spark):
     assert rows(nearby.regions_of_points(points, "checkpoint_id", "lon", "lat", regions.where("false"), "name", "corners")) == []
 
 
+def test_regions_in_blocks(spark):
+    regions = spark.createDataFrame([(f"r{k}", [[float(k), 0.0], [k + 2.0, 0.0], [k + 2.0, 1.0], [float(k), 1.0]]) for k in range(9)], "name string, corners array<array<double>>")
+    points = frame(spark, [(k, 0.5, k + 0.5) for k in range(10)])
+    whole = rows(nearby.regions_of_points(points, "checkpoint_id", "lon", "lat", regions, "name", "corners"))
+    assert len(whole) == 18 and rows(nearby.regions_of_points(points, "checkpoint_id", "lon", "lat", regions, "name", "corners", block=2)) == whole
+
+
 def test_repartitioning_changes_nothing(spark, sf):
     df = spark.read.parquet(f"{sf}/terrain_checkpoints.parquet")
     a = rows(nearby.pairs_within(df, "checkpoint_id", "lat", "lon", 15.0))

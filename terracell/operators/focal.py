@@ -115,16 +115,20 @@ def dilate(df: DataFrame, mask: str, out: str, iterations: int = 1, cross: bool
     return df
 
 
-def erode(df: DataFrame, mask: str, out: str, iterations: int = 1, outside: bool = False) -> DataFrame:
-    """Adds the mask shrunk over eight neighbours. ``outside``: whether cells beyond the border count as set."""
+def erode(df: DataFrame, mask: str, out: str, iterations: int = 1, outside: bool = False, cross: bool = False) -> DataFrame:
+    """Adds the mask shrunk over eight neighbours, or over four (``cross``). ``outside``: whether cells beyond the border count as set."""
     df = df.withColumn("__not", ~F.coalesce(F.col(mask), F.lit(False)))
-    df = dilate(df, "__not", "__grown", iterations)
+    df = dilate(df, "__not", "__grown", iterations, cross)
     kept = ~F.col("__grown")
     if not outside:  # a border cell has neighbours that do not exist
-        whole = F.lit((2 * iterations + 1) ** 2)
-        df = box_sum(df, iterations, {"__all": F.lit(1)})
-        kept = kept & (F.col("__all") == whole)
-    return df.withColumn(out, kept).drop("__not", "__grown", "__all")
+        whole = 2 * iterations + 1
+        if cross:
+            df = df.withColumns({"__row": F.count("*").over(_row(iterations)), "__col": F.count("*").over(_column(iterations))})
+            kept = kept & (F.col("__row") == whole) & (F.col("__col") == whole)
+        else:
+            df = box_sum(df, iterations, {"__all": F.lit(1)})
+            kept = kept & (F.col("__all") == whole * whole)
+    return df.withColumn(out, kept).drop("__not", "__grown", "__all", "__row", "__col")
 
 
 def close_mask(df: DataFrame, mask: str, out: str, iterations: int = 1) -> DataFrame:
@@ -139,15 +143,16 @@ def density_filter(df: DataFrame, mask: str, size: int, least: int, out: str) ->
     return df.withColumn(out, F.col(mask) & (F.col("__d") * (size * size) >= least)).drop("__m", "__d")
 
 
-def tiled(df: DataFrame, value: str, halo: int, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], out: str, tile: int | None = None) -> DataFrame:
+def tiled(df: DataFrame, value: str | list[str], halo: int, kernel: Callable[..., np.ndarray], out: str, tile: int | None = None) -> DataFrame:
     """``ix, iy, out``: a numpy kernel run on tiles with a halo.
 
-    ``kernel(values, there)`` gets the values of a tile and its halo (NaN where null) and
-    which of these cells exist. A tile holds at most (tile + 2 halo) squared cells, so no
-    task grows with the data.
+    ``kernel(values, there)`` gets the values of a tile and its halo (NaN where null), a list
+    of them where ``value`` is a list, and which of these cells exist. A tile holds at most
+    (tile + 2 halo) squared cells, so no task grows with the data.
     """
     side = tile or max(256, 4 * halo)
-    rows = df.select(F.col("ix").cast("long"), F.col("iy").cast("long"), F.col(value).cast("double").alias("v"))
+    names = [value] if isinstance(value, str) else value
+    rows = df.select(F.col("ix").cast("long"), F.col("iy").cast("long"), *[F.col(n).cast("double").alias(f"v{i}") for i, n in enumerate(names)])
     span = lambda c: F.sequence(F.floor((F.col(c) - halo) / side), F.floor((F.col(c) + halo) / side))
     placed = rows.withColumn("tx", F.explode(span("ix"))).withColumn("ty", F.explode(span("iy")))
 
@@ -155,12 +160,14 @@ def tiled(df: DataFrame, value: str, halo: int, kernel: Callable[[np.ndarray, np
         x0, y0 = int(key[0]) * side - halo, int(key[1]) * side - halo
         x, y = pdf["ix"].to_numpy() - x0, pdf["iy"].to_numpy() - y0
         shape = (side + 2 * halo, side + 2 * halo)
-        values, there = np.full(shape, np.nan), np.zeros(shape, bool)
-        values[y, x], there[y, x] = pdf["v"].to_numpy(), True
+        layers, there = np.full((len(names), *shape), np.nan), np.zeros(shape, bool)
+        there[y, x] = True
+        for i in range(len(names)):
+            layers[i][y, x] = pdf[f"v{i}"].to_numpy()
         core = (x >= halo) & (x < side + halo) & (y >= halo) & (y < side + halo)
         if not core.any():
             return pd.DataFrame({"ix": [], "iy": [], out: []})
-        result = kernel(values, there)
+        result = kernel(layers[0] if isinstance(value, str) else list(layers), there)
         return pd.DataFrame({"ix": pdf["ix"][core], "iy": pdf["iy"][core], out: result[y[core], x[core]]})
 
     done = placed.groupBy("tx", "ty").applyInPandas(run, f"ix long, iy long, `{out}` double")
@@ -222,14 +229,79 @@ def normalized_gaussian(df: DataFrame, value: str, sigma: float, out: str) -> Da
     return tiled(df, value, r, kernel, out)
 
 
+def _reflect_index(there: np.ndarray, axis: int, r: int) -> np.ndarray:
+    """For each place and shift the place to read: mirrored with the edge repeated."""
+    some = np.flatnonzero(there.any(axis=1 - axis))
+    low, n = int(some[0]), int(some[-1] - some[0] + 1)
+    at = np.abs(np.arange(there.shape[axis])[:, None] + np.arange(-r, r + 1)[None, :] - low + 0.5) % (2 * n)
+    return (np.where(at > n, 2 * n - at, at) - 0.5).astype(np.int64) + low
+
+
+def _median(values: np.ndarray, there: np.ndarray, size: int) -> np.ndarray:
+    r = size // 2
+    y, x = _reflect_index(there, 0, r), _reflect_index(there, 1, r)
+    return np.median(np.stack([values[y[:, i]][:, x[:, j]] for i in range(size) for j in range(size)]), axis=0)
+
+
+def median(df: DataFrame, value: str, size: int, out: str) -> DataFrame:
+    """``ix, iy, out``: the median of size x size cells of a full rectangle, mirrored beyond the border."""
+    return tiled(df, value, size // 2, lambda values, there: _median(values, there, size), out)
+
+
 def median3(df: DataFrame, value: str, out: str) -> DataFrame:
     """``ix, iy, out``: the median of 3 x 3 cells, the border repeated beyond it."""
+    return median(df, value, 3, out)
 
-    def kernel(values: np.ndarray, there: np.ndarray) -> np.ndarray:
-        y, x = _edge_index(there, False, 0, 1), _edge_index(there, False, 1, 1)
-        return np.median(np.stack([values[y[:, i]][:, x[:, j]] for i in range(3) for j in range(3)]), axis=0)
 
-    return tiled(df, value, 1, kernel, out)
+def nearest(df: DataFrame, there: Column, value: Column) -> DataFrame:
+    """``ix, iy, d2, value``: the squared distance in cells to the nearest cell for which ``there`` holds, and its value.
+
+    Exact for any distance: the nearest such cell of the column above and below by windows,
+    then for each row the least sum of squares over its columns, in a task that holds one
+    row. Of equally near cells the first by row, then by column, counts. Without any such
+    cell both are null.
+    """
+    kind = df.select(value.alias("v")).schema[0].dataType.simpleString()
+    at = F.when(there, F.struct(F.col("iy").cast("long").alias("y"), value.alias("v")))
+    column = Window.partitionBy("ix").orderBy("iy")
+    up, down = F.last(at, True).over(column), F.first(at, True).over(column.rowsBetween(0, Window.unboundedFollowing))
+    y = F.col("iy").cast("long")
+    near = F.when(F.col("__d").isNull() | (y - F.col("__u.y") <= F.col("__d.y") - y), F.col("__u")).otherwise(F.col("__d"))
+    cells = df.select("ix", "iy", up.alias("__u"), down.alias("__d")).select(F.col("ix").cast("long"), y.alias("iy"), near.alias("n")).select("ix", "iy", F.col("n.y").alias("y"), F.col("n.v").alias("v"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ix")
+        x, row = pdf["ix"].to_numpy(), int(key[0])
+        sy = pdf["y"].to_numpy(float)
+        g = np.where(np.isnan(sy), np.inf, (sy - row) ** 2)
+        best, source = g.copy(), np.arange(len(x))
+        d = 1  # cells of a row may be missing, so shifts go by place and distances by column
+        while d < len(x) and (not np.isfinite(best).all() or (d * d) <= best.max()):
+            for a, b in ((slice(d, None), slice(None, -d)), (slice(None, -d), slice(d, None))):
+                to, come = np.arange(len(x))[a], np.arange(len(x))[b]
+                far = g[come] + (x[to] - x[come]).astype(float) ** 2
+                old = source[to]
+                first = (sy[come] < sy[old]) | (sy[come] == sy[old]) & (x[come] < x[old])
+                wins = (far < best[to]) | (far == best[to]) & np.isfinite(far) & first
+                best[to[wins]], source[to[wins]] = far[wins], come[wins]
+            d += 1
+        found = np.isfinite(best)
+        values = pdf["v"].to_numpy(object)[source]
+        return pd.DataFrame({"ix": x, "iy": row, "d2": pd.Series(np.where(found, best, -1)).astype("int64"), "value": pd.Series(np.where(found, values, None), dtype=object)})
+
+    done = cells.groupBy("iy").applyInPandas(run, f"ix long, iy long, d2 long, value {kind}")
+    return done.select("ix", "iy", F.when(F.col("d2") >= 0, F.col("d2")).alias("d2"), "value")
+
+
+def distance(df: DataFrame, mask: str, out: str) -> DataFrame:
+    """``ix, iy, out``: exact Euclidean distance in cells to the nearest set cell, however far; null where there is none."""
+    some = nearest(df, F.coalesce(F.col(mask).cast("boolean"), F.lit(False)), F.lit(1))
+    return some.select("ix", "iy", F.sqrt("d2").alias(out))
+
+
+def fill_nearest(df: DataFrame, value: str, out: str) -> DataFrame:
+    """``ix, iy, out``: the value, or for null cells that of the nearest cell that has one, however far."""
+    return nearest(df, F.col(value).isNotNull(), F.col(value)).select("ix", "iy", F.col("value").alias(out))
 
 
 def distance_within(df: DataFrame, mask: str, radius: int, out: str) -> DataFrame:

@@ -61,6 +61,23 @@ def tile_y(lat: Column, zoom: int) -> Column:
     return F.floor((1.0 - mercator_y(lat) / math.pi) / 2.0 * (1 << zoom)).cast("long")
 
 
+def tile_x_last(lon: Column, zoom: int) -> Column:
+    """The last tile that begins west of a longitude."""
+    return (F.ceil((lon + 180.0) / 360.0 * (1 << zoom)) - 1).cast("long")
+
+
+def tile_y_last(lat: Column, zoom: int) -> Column:
+    """The last tile that begins north of a latitude."""
+    return (F.ceil((1.0 - mercator_y(lat) / math.pi) / 2.0 * (1 << zoom)) - 1).cast("long")
+
+
+def bounds_of_tiles(tiles: DataFrame, zoom: int) -> DataFrame:
+    """One row: ``west, south, east, north`` of tiles ``x, y``."""
+    return tiles.agg(
+        tile_lon(F.min("x"), zoom).alias("west"), tile_lat(F.max("y") + 1, zoom).alias("south"), tile_lon(F.max("x") + 1, zoom).alias("east"), tile_lat(F.min("y"), zoom).alias("north")
+    )
+
+
 def mercator_y(lat: Column) -> Column:
     rad = F.radians(lat)
     return F.log(F.tan(rad) + 1 / F.cos(rad))

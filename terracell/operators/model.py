@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracell import fixed
+from terracell.operators import focal, graph
 
 
 def clip(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -56,6 +58,54 @@ def dry_limestone(score: Column, applies: Column, roughness: Column, twi: Column
     return F.when(F.coalesce(applies, F.lit(False)), score * F.coalesce(factor, F.lit(1.0))).otherwise(score)
 
 
+def monotony(df: DataFrame, score: str, slope: str, altitude: str, out: str, excluded: str | None = None, radius: int = 50) -> DataFrame:
+    """``ix, iy, out``: the score lowered by up to 15 % where the ground is flat and even over a wide radius.
+
+    The share of flat cells (under 8 degrees) and the spread of the altitude are Gaussian
+    means of half the radius, in one pass over tiles; only where the spread stays under 15 m
+    does flatness count. Excluded and missing scores stay. Missing altitudes count as 0.
+    """
+    sigma = radius / 2.0
+    w = focal.gaussian_weights(sigma)
+    r = len(w) // 2
+    ground = df.select("ix", "iy", (F.col(slope) < 8).cast("double").alias("__f"), F.col(altitude).alias("__z"))
+
+    def kernel(values: list[np.ndarray], there: np.ndarray) -> np.ndarray:
+        flat, z = map(np.nan_to_num, values)
+        layers = [flat, z, z * z]
+        for axis in (1, 0):
+            at = focal._edge_index(there, False, axis, r)
+            layers = [sum(w[k] * np.take(x, at[:, k], axis=axis) for k in range(len(w))) for x in layers]
+        share, mean, square = layers
+        return np.where(np.sqrt(np.maximum(square - mean**2, 0.0)) < 15.0, np.clip(share, 0.0, 1.0), 0.0)
+
+    even = focal.tiled(ground, ["__f", "__z"], r, kernel, "__m")
+    stays = F.coalesce(F.col(excluded), F.lit(False)) if excluded else F.lit(False)
+    lowered = F.when(stays, F.col(score)).otherwise(F.col(score) * (1 - 0.15 * F.coalesce("__m", F.lit(0.0))))
+    return df.join(even, ["ix", "iy"]).select("ix", "iy", lowered.alias(out))
+
+
+def hotspots(df: DataFrame, width: int, cell: float, threshold: float = 0.65, least: int = 4, limit: int | None = None) -> DataFrame:
+    """The regions of high scores (see :func:`graph.region_stats`), the highest mean first where ``limit`` asks for the top.
+
+    ``df``: a full rectangle ``ix, iy, score, altitude, slope, species, geology``. High cells
+    are closed over eight neighbours first; cells that closing adds count in all means.
+    """
+    hot = df.withColumn("__hot", F.coalesce(F.col("score") >= threshold, F.lit(False)))
+    hot = focal.close_mask(hot, "__hot", "__closed").where("__closed").drop("__hot", "__closed")
+    named = graph.components(hot, width)
+    stats = graph.region_stats(hot.join(named, ["ix", "iy"]), cell, least)
+    return stats if limit is None else stats.orderBy(F.desc("mean_score"), "region").limit(limit)
+
+
+def validate(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row for each criterion: ``criterion, missing, low, high, valid``; values may leave 0..1 by a thousandth."""
+    pairs = ", ".join(f"'{c}', `{c}`" for c in columns)
+    long = df.select(F.expr(f"stack({len(columns)}, {pairs}) as (criterion, s)"))
+    stats = long.groupBy("criterion").agg(F.count_if(F.col("s").isNull()).alias("missing"), F.min("s").alias("low"), F.max("s").alias("high"))
+    return stats.withColumn("valid", F.coalesce((F.col("low") >= -0.001) & (F.col("high") <= 1.001), F.lit(False)))
+
+
 def class_of(score: Column) -> Column:
     """0 to 5 by the class limits, the limit itself in the upper class; -1 for null."""
     return F.when(score.isNull(), -1).otherwise(sum((F.when(score >= t, 1).otherwise(0) for t in fixed.CLASS_LIMITS), F.lit(0)))

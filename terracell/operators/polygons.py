@@ -117,31 +117,31 @@ def spans(shapes: DataFrame, parts: str, extent: tuple[int, int, int, int], touc
     rest = [c for c in shapes.columns if c != parts]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shapes.select(*rest).schema)
     x0, y0, x1, y1 = extent
-    at = shapes.where(F.col(parts).isNotNull()).withColumn("__e", _edges(F.col(parts).cast("array<array<array<double>>>"), filled)).drop(parts)
+    at = shapes.where(F.col(parts).isNotNull()).withColumn("__poly_e", _edges(F.col(parts).cast("array<array<array<double>>>"), filled)).drop(parts)
     finite = lambda e: ~F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    at = at.where((F.size("__e") > 0) & F.forall("__e", finite))
-    ys = F.flatten(F.transform("__e", lambda e: F.array(e[1], e[3])))
+    at = at.where((F.size("__poly_e") > 0) & F.forall("__poly_e", finite))
+    ys = F.flatten(F.transform("__poly_e", lambda e: F.array(e[1], e[3])))
     low, high = F.greatest(F.floor(F.array_min(ys) - reach), F.lit(y0)), F.least(F.floor(F.array_max(ys) + reach), F.lit(y1))
-    at = at.withColumns({"__lo": low.cast("long"), "__hi": high.cast("long")}).where("__lo <= __hi")
-    at = at.withColumn("__b", F.explode(F.sequence(F.floor(F.col("__lo") / BAND).cast("long"), F.floor(F.col("__hi") / BAND).cast("long"))))
-    above, below = F.col("__b") * BAND - reach, (F.col("__b") + 1) * BAND + reach
-    at = at.withColumn("__e", F.filter("__e", lambda e: (F.greatest(e[1], e[3]) >= above) & (F.least(e[1], e[3]) <= below)))
-    at = at.withColumns({"__lo": F.greatest(F.col("__lo"), F.col("__b") * BAND), "__hi": F.least(F.col("__hi"), (F.col("__b") + 1) * BAND - 1)}).drop("__b")
+    at = at.withColumns({"__poly_lo": low.cast("long"), "__poly_hi": high.cast("long")}).where("__poly_lo <= __poly_hi")
+    at = at.withColumn("__poly_b", F.explode(F.sequence(F.floor(F.col("__poly_lo") / BAND).cast("long"), F.floor(F.col("__poly_hi") / BAND).cast("long"))))
+    above, below = F.col("__poly_b") * BAND - reach, (F.col("__poly_b") + 1) * BAND + reach
+    at = at.withColumn("__poly_e", F.filter("__poly_e", lambda e: (F.greatest(e[1], e[3]) >= above) & (F.least(e[1], e[3]) <= below)))
+    at = at.withColumns({"__poly_lo": F.greatest(F.col("__poly_lo"), F.col("__poly_b") * BAND), "__poly_hi": F.least(F.col("__poly_hi"), (F.col("__poly_b") + 1) * BAND - 1)}).drop("__poly_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("__e")
+            lists = batch.column("__poly_e")
             size = np.diff(lists.offsets.to_numpy())
             edge = lists.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
             shape = np.repeat(np.arange(batch.num_rows), size)
-            lo, hi = (batch.column(c).to_numpy()[shape] for c in ("__lo", "__hi"))
+            lo, hi = (batch.column(c).to_numpy()[shape] for c in ("__poly_lo", "__poly_hi"))
             whose, row, a, b = runs(shape, edge, lo, hi, filled, touched, reach)
             a, b = np.maximum(a, x0), np.minimum(b, x1)
             inside = a <= b
             keep = pa.array(whose[inside])
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(keep) for c in rest), pa.array(row[inside]), pa.array(a[inside]), pa.array(b[inside])], [*rest, "iy", "x0", "x1"])
 
-    return at.select(*rest, "__e", "__lo", "__hi").mapInArrow(run, f"{fields + ', ' if rest else ''}iy bigint, x0 bigint, x1 bigint")
+    return at.select(*rest, "__poly_e", "__poly_lo", "__poly_hi").mapInArrow(run, f"{fields + ', ' if rest else ''}iy bigint, x0 bigint, x1 bigint")
 
 
 def extent_of(cells: DataFrame) -> tuple[int, int, int, int]:
@@ -159,6 +159,6 @@ def cells_in_shapes(
     the stretch of columns. Columns of the shapes must have other names than those of the cells.
     """
     found = spans(shapes, parts, extent or extent_of(cells), touched, reach, filled)
-    found = found.withColumn("__s", F.explode(F.sequence(F.floor(F.col("x0") / STRETCH), F.floor(F.col("x1") / STRETCH))))
-    at = cells.withColumns({"__s": F.floor(F.col("ix") / STRETCH), "__y": F.col("iy").cast("long")})
-    return at.join(found.withColumnRenamed("iy", "__y"), ["__y", "__s"]).where("ix between x0 and x1").drop("__y", "__s", "x0", "x1")
+    found = found.withColumn("__poly_s", F.explode(F.sequence(F.floor(F.col("x0") / STRETCH), F.floor(F.col("x1") / STRETCH))))
+    at = cells.withColumns({"__poly_s": F.floor(F.col("ix") / STRETCH), "__poly_y": F.col("iy").cast("long")})
+    return at.join(found.withColumnRenamed("iy", "__poly_y"), ["__poly_y", "__poly_s"]).where("ix between x0 and x1").drop("__poly_y", "__poly_s", "x0", "x1")

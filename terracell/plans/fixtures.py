@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terracell import fixed
 from terracell.sources.tables import table
 
 NX, CELL = 125, 10.0
@@ -69,6 +70,25 @@ def shapes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+URBAN_TYPES = ("residential", "Commercial", "route", "batiment", "parking", "hangar", "cemetery")
+WATER_TYPES = ("bras_mort", "plan_eau", "canal", "riviere", "torrent")
+
+
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    """``seq, bonus, parts``: lines of three places, in cell units, spread over all rows of the grid."""
+    ny = rows(grid(spark, sf))
+    k = F.col("s_suppkey")
+    x, y = k * 41 % NX + 0.3, k * 67 % ny + 0.45
+    mid_x, mid_y = x + (k % 9 - 4) * 2.5, y + (k % 7 - 3) * 3.5
+    bonus = F.get(F.array(*[F.lit(fixed.WATER_BONUS[t]) for t in WATER_TYPES]), F.pmod(k, F.lit(len(WATER_TYPES))))
+    return table(spark, sf, "supplier").select(k.alias("seq"), bonus.alias("bonus"), F.array(F.array(F.array(x, y), F.array(mid_x, mid_y), F.array(mid_x + 3.1, mid_y - 2.2))).alias("parts"))
+
+
+def built_up(spark: SparkSession, sf: str) -> DataFrame:
+    """``parts, urban_type`` of the polygons."""
+    return shapes(spark, sf).select("parts", F.get(F.array(*map(F.lit, URBAN_TYPES)), F.pmod("code", F.lit(len(URBAN_TYPES)))).alias("urban_type"))
+
+
 def points(spark: SparkSession, sf: str) -> DataFrame:
     """``seq, px, py, value`` in cell units, spread over all rows of the grid."""
     ny = rows(grid(spark, sf))
@@ -144,6 +164,26 @@ def sql_in_shapes(touched: bool, reach: float = 0.0) -> str:
     return f"hit AS (SELECT ix, iy, seq, any_value(edge.code) AS code, any_value(edge.score) AS score FROM grid JOIN shape ON {near} JOIN edge USING (seq) GROUP BY ix, iy, seq HAVING {rule})"
 
 
+SQL_LINES = f"""knee AS (SELECT s_suppkey AS seq, [{", ".join(f"{fixed.WATER_BONUS[t]}::DOUBLE" for t in WATER_TYPES)}][s_suppkey % {len(WATER_TYPES)} + 1] AS bonus,
+    s_suppkey * 41 % 125 + 0.3::DOUBLE AS x, s_suppkey * 67 % ny + 0.45::DOUBLE AS y, x + (s_suppkey % 9 - 4) * 2.5::DOUBLE AS mx, y + (s_suppkey % 7 - 3) * 3.5::DOUBLE AS my
+    FROM supplier, (SELECT max(o_orderkey) // 125 + 1 AS ny FROM orders)),
+line AS (SELECT seq, bonus, x AS x1, y AS y1, mx AS x2, my AS y2 FROM knee UNION ALL SELECT seq, bonus, mx, my, mx + 3.1::DOUBLE, my - 2.2::DOUBLE FROM knee)"""
+
+
+def sql_on_lines(reach: float) -> str:
+    """CTE ``wet``: every (cell, edge of a line) whose square is within ``reach`` of it."""
+    t = lambda x, y: f"greatest(0, least(1, (({x} - x1) * (x2 - x1) + ({y} - y1) * (y2 - y1)) / nullif(pow(x2 - x1, 2) + pow(y2 - y1, 2), 0)))"
+    corner = lambda x, y: f"pow({x} - x1 - coalesce({t(x, y)}, 0) * (x2 - x1), 2) + pow({y} - y1 - coalesce({t(x, y)}, 0) * (y2 - y1), 2) <= {reach * reach}"
+    end = lambda x, y: f"pow(greatest(ix - {x}, 0, {x} - ix - 1), 2) + pow(greatest(iy - {y}, 0, {y} - iy - 1), 2) <= {reach * reach}"
+    low, high = "greatest(least(y1, y2), iy)", "least(greatest(y1, y2), iy + 1)"
+    x = lambda y: f"coalesce(x1 + (x2 - x1) * ({y} - y1) / nullif(y2 - y1, 0), x1)"
+    touch = f"""least(y1, y2) < iy + 1 AND greatest(y1, y2) >= iy AND CASE WHEN y1 = y2 THEN floor(least(x1, x2)) <= ix AND floor(greatest(x1, x2)) >= ix
+        ELSE floor(least({x(low)}, {x(high)})) <= ix AND floor(greatest({x(low)}, {x(high)})) >= ix END"""
+    close = " OR ".join([f"({touch})"] + ([f"({corner(a, b)})" for a in ("ix", "ix + 1") for b in ("iy", "iy + 1")] + [f"({end('x1', 'y1')})", f"({end('x2', 'y2')})"] if reach else []))
+    near = f"ix BETWEEN least(x1, x2) - {reach + 2} AND greatest(x1, x2) + {reach + 2} AND iy BETWEEN least(y1, y2) - {reach + 2} AND greatest(y1, y2) + {reach + 2}"
+    return f"wet AS (SELECT ix, iy, seq, bonus FROM grid JOIN line ON {near} WHERE {close})"
+
+
 SQL_POINTS = """points AS (SELECT c_custkey AS seq, (c_custkey * 53 % 125)::DOUBLE AS px, (c_custkey * 29 % ny)::DOUBLE AS py,
     CASE WHEN c_mktsegment = 'BUILDING' THEN 0.9::DOUBLE ELSE 0.75::DOUBLE END AS value FROM customer, (SELECT max(o_orderkey) // 125 + 1 AS ny FROM orders))"""
 SQL_DAYS = """counts AS (SELECT ts::DATE AS day, count(*) FILTER (event_type = 'view') AS nv, count(*) FILTER (event_type = 'error') AS ne,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terracell import fixed
 from terracell.functions import curves
-from terracell.operators import enrich, focal, graph, grid, landcover, model, polygons, resolve, spatial, weather
+from terracell.operators import enrich, focal, graph, grid, landcover, masks, model, polygons, resolve, spatial, weather
 from terracell.operators.nearby import valid_position
 from terracell.plans import fixtures as fx
 from terracell.sources.tables import table
@@ -817,13 +817,20 @@ def regional_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
-@query()
+_SQL_WIDE = """k AS (SELECT (range - 100)::INT AS d, exp(-0.5::DOUBLE * pow((range - 100) / 25, 2)) AS g FROM range(201)), kw AS (SELECT d, g / (SELECT sum(g) FROM k) AS w FROM k)"""
+
+
+@query(
+    _SQL_HORN
+    + f""", {_SQL_WIDE}, f0 AS (SELECT grid.ix, grid.iy, zs, zs * zs AS sq, (slope < 8)::INT AS flat, urban FROM grid JOIN horn USING (ix, iy)), last AS (SELECT max(iy) AS ny FROM grid),
+a AS (SELECT c.ix, c.iy, sum(w * n.zs) AS m, sum(w * n.sq) AS q, sum(w * n.flat) AS f FROM f0 c, kw, f0 n WHERE n.iy = c.iy AND n.ix = greatest(0, least(124, c.ix + d)) GROUP BY ALL),
+b AS (SELECT c.ix, c.iy, sum(w * n.m) AS m, sum(w * n.q) AS q, sum(w * n.f) AS f FROM a c, kw, a n, last WHERE n.ix = c.ix AND n.iy = greatest(0, least(ny, c.iy + d)) GROUP BY ALL)
+SELECT ix, iy, CASE WHEN urban THEN 0.8::DOUBLE ELSE 0.8::DOUBLE * (1 - 0.15::DOUBLE * CASE WHEN sqrt(greatest(q - m * m, 0)) < 15 THEN f ELSE 0 END) END AS score FROM b JOIN f0 USING (ix, iy)"""
+)
 def monotony_penalty(spark: SparkSession, sf: str) -> DataFrame:
-    """The score lowered by up to 15 % where the ground is flat and even over a wide radius."""
-    g = focal.slope_aspect(fx.grid(spark, sf), "zs", fx.CELL).withColumns({"flat": (F.col("slope") < 8).cast("double"), "sq": F.col("zs") * F.col("zs")})
-    flat = focal.gaussian(g, "flat", 25.0, "f").join(focal.gaussian(g, "zs", 25.0, "m"), ["ix", "iy"]).join(focal.gaussian(g, "sq", 25.0, "q"), ["ix", "iy"])
-    even = F.sqrt(F.greatest(F.col("q") - F.col("m") ** 2, F.lit(0.0))) < 15
-    return flat.select("ix", "iy", r6(0.8 * (1 - 0.15 * F.when(even, F.col("f")).otherwise(0.0))).alias("score"))
+    """A score lowered on ground that is flat and even over a wide radius, not in excluded cells."""
+    g = focal.slope_aspect(fx.grid(spark, sf), "zs", fx.CELL).withColumn("score", F.lit(0.8))
+    return model.monotony(g, "score", "slope", "zs", "score", "urban")
 
 
 # --- land cover ------------------------------------------------------------------------------
@@ -871,6 +878,183 @@ def mercator_crop(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# --- layers and land cover --------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {fx.SQL_GRID}, t AS (SELECT ix AS tx, iy AS ty FROM grid WHERE water), d AS (SELECT ix, iy, min(pow(ix - tx, 2) + pow(iy - ty, 2)) AS d2 FROM grid, t GROUP BY ALL)
+SELECT ix, iy, sqrt(d2) AS dist FROM d"""
+)
+def edt_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The distance to the nearest water cell, however far."""
+    return focal.distance(fx.grid(spark, sf), "water", "dist")
+
+
+@query(
+    f"""WITH {fx.SQL_GRID}, g AS (SELECT ix, iy, CASE WHEN (ix // 20 + iy // 7) % 3 = 0 THEN z END AS v FROM grid),
+f AS (SELECT a.ix, a.iy, min_by(b.v, (pow(a.ix - b.ix, 2) + pow(a.iy - b.iy, 2), b.iy, b.ix)) AS v FROM g a, g b WHERE a.v IS NULL AND b.v IS NOT NULL GROUP BY ALL)
+SELECT g.ix, g.iy, coalesce(g.v, f.v) AS filled FROM g LEFT JOIN f USING (ix, iy)"""
+)
+def fill_any_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """Nulls filled from the nearest cell with a value, however far."""
+    holed = fx.grid(spark, sf).withColumn("v", F.when((F.floor(F.col("ix") / 20) + F.floor(F.col("iy") / 7)) % 3 == 0, F.col("z")))
+    return focal.fill_nearest(holed, "v", "filled")
+
+
+@query(
+    f"""WITH {fx.SQL_GRID}, {fx.SQL_LINES}, {fx.sql_on_lines(0.2)}, {fx.SQL_SHAPES}, {fx.sql_in_shapes(True)},
+w AS (SELECT DISTINCT ix, iy FROM wet UNION SELECT ix, iy FROM hit WHERE seq % 10 = 0),
+d AS (SELECT grid.ix, grid.iy, 10 * sqrt(min(pow(grid.ix - w.ix, 2) + pow(grid.iy - w.iy, 2))) AS dist FROM grid, w GROUP BY ALL)
+SELECT ix, iy, w.ix IS NOT NULL AS water, dist AS dist_water FROM d LEFT JOIN w USING (ix, iy)"""
+)
+def water_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """Water from areas (every tenth polygon) and lines, and the distance to it."""
+    return masks.water_distance(fx.grid(spark, sf), fx.shapes(spark, sf).where("seq % 10 = 0").select("parts"), fx.lines(spark, sf).select("parts"), fx.CELL)
+
+
+@query(f"WITH {fx.SQL_GRID}, {fx.SQL_LINES}, {fx.sql_on_lines(10.0)}, b AS (SELECT ix, iy, max(bonus) AS b FROM wet GROUP BY ALL) SELECT ix, iy, greatest(1, coalesce(b, 1))::DOUBLE AS factor FROM grid LEFT JOIN b USING (ix, iy)")
+def water_bonus(spark: SparkSession, sf: str) -> DataFrame:
+    return masks.water_bonus(fx.grid(spark, sf), None, fx.lines(spark, sf), fx.CELL)
+
+
+@query(
+    f"""WITH {fx.SQL_GRID}, {fx.SQL_LINES}, {fx.sql_on_lines(0.0)}, w AS (SELECT DISTINCT ix, iy FROM wet),
+d AS (SELECT grid.ix, grid.iy, 10 * sqrt(min(pow(grid.ix - w.ix, 2) + pow(grid.iy - w.iy, 2))) AS dist FROM grid, w GROUP BY ALL)
+SELECT ix, iy, dist AS dist_contact, {sql_curve('dist', curves.CONTACT)} AS score FROM d"""
+)
+def contact_score(spark: SparkSession, sf: str) -> DataFrame:
+    """The distance to contact lines and its score."""
+    met = masks.contact_distance(fx.grid(spark, sf), fx.lines(spark, sf).select("parts"), fx.CELL)
+    return met.withColumn("score", curves.CONTACT.of(F.col("dist_contact")))
+
+
+@query(
+    f"""WITH {fx.SQL_GRID}, m AS (SELECT ix, iy, z > 600 AS m FROM grid), n AS (SELECT m.*, (SELECT max(iy) FROM grid) AS last,
+    coalesce(lag(m) OVER r AND lead(m) OVER r, false) AS h, coalesce(lag(m) OVER c AND lead(m) OVER c, false) AS v FROM m WINDOW r AS (PARTITION BY iy ORDER BY ix), c AS (PARTITION BY ix ORDER BY iy)),
+e AS (SELECT ix AS ex, iy AS ey FROM n WHERE m AND NOT (h AND v)),
+d AS (SELECT ix, iy, 10 * sqrt(min(pow(ix - ex, 2) + pow(iy - ey, 2))) AS dist FROM grid, e GROUP BY ALL) SELECT ix, iy, dist AS dist_edge, {sql_curve('dist', curves.EDGE)} AS score FROM d"""
+)
+def edge_score(spark: SparkSession, sf: str) -> DataFrame:
+    """The distance to the edge of a mask and its score."""
+    return masks.edge_distance(fx.grid(spark, sf).withColumn("m", F.col("z") > 600), "m", fx.CELL).withColumn("score", curves.EDGE.of(F.col("dist_edge")))
+
+
+_URBAN_WIDTH = "CASE t " + " ".join(f"WHEN '{t}' THEN {round(b / fx.CELL)}" for t, b in fixed.URBAN_BUFFERS.items()) + f" ELSE {round(10 / fx.CELL)} END"
+_URBAN_SIZE, _URBAN_LEAST = masks.density_limit(fx.CELL)
+
+
+@query(
+    f"""WITH {fx.SQL_GRID}, {fx.SQL_SHAPES}, {fx.sql_in_shapes(True)}, n AS (SELECT max(iy) AS ny FROM grid),
+u AS (SELECT DISTINCT ix, iy, lower([{", ".join(f"'{t}'" for t in fx.URBAN_TYPES)}][code % {len(fx.URBAN_TYPES)} + 1]) AS t FROM hit),
+c AS (SELECT a.ix, a.iy, a.t, count(*) AS k FROM u a JOIN u b ON a.t = b.t AND abs(a.ix - b.ix) <= {_URBAN_SIZE // 2} AND abs(a.iy - b.iy) <= {_URBAN_SIZE // 2} GROUP BY ALL),
+kept AS (SELECT ix, iy, t, {_URBAN_WIDTH} AS w FROM c, n WHERE k / ((least(ix + {_URBAN_SIZE // 2}, 124) - greatest(ix - {_URBAN_SIZE // 2}, 0) + 1) * (least(iy + {_URBAN_SIZE // 2}, ny) - greatest(iy - {_URBAN_SIZE // 2}, 0) + 1)) * {_URBAN_SIZE**2} >= {_URBAN_LEAST})
+SELECT ix, iy, EXISTS (SELECT 1 FROM kept WHERE abs(kept.ix - grid.ix) + abs(kept.iy - grid.iy) <= w) AS urban FROM grid"""
+)
+def urban_mask(spark: SparkSession, sf: str) -> DataFrame:
+    return masks.urban_mask(fx.grid(spark, sf), fx.built_up(spark, sf), fx.CELL)
+
+
+def _sql_reflect(c: str, last: str) -> str:
+    return f"(CASE WHEN {c} < 0 THEN -1 - ({c}) WHEN {c} > {last} THEN 2 * {last} + 1 - ({c}) ELSE {c} END)"
+
+
+def _sql_median(table_: str, value: str, size: int) -> str:
+    off = f"(SELECT unnest(range({-(size // 2)}, {size // 2 + 1}))"
+    return f"""(SELECT a.ix, a.iy, median(n.{value}) AS {value} FROM {table_} a, {off} AS dx), {off} AS dy), n0
+        JOIN {table_} n ON n.ix = {_sql_reflect('a.ix + dx', '124')} AND n.iy = {_sql_reflect('a.iy + dy', 'ny')} GROUP BY a.ix, a.iy)"""
+
+
+@query(
+    f"""WITH {fx.SQL_GRID}, n0 AS (SELECT max(iy) AS ny FROM grid), c AS (SELECT ix, iy, z, (ix // 6 * 7 + iy // 4 * 3) % 13 - 1 AS cls FROM grid),
+g AS (SELECT *, CASE WHEN cls >= 0 THEN [{", ".join(f"{v}::DOUBLE" for v in fixed.GREEN_SCORES)}][cls + 1] ELSE 0.3::DOUBLE END AS green FROM c),
+u AS (SELECT a.ix, a.iy, max((n.cls IN {fixed.ROADS})::INT) AS urban FROM {_sql_box('c', 'c', 1)} GROUP BY a.ix, a.iy),
+w AS (SELECT a.ix, a.iy, max((n.cls IN {fixed.WATERS})::INT) AS water FROM {_sql_box('c', 'c', 2)} GROUP BY a.ix, a.iy),
+m AS (SELECT ix, iy, urban > 0 AS urban, water > 0 AS water, green FROM {_sql_median('u', 'urban', 5)} JOIN {_sql_median('w', 'water', 3)} USING (ix, iy) JOIN {_sql_median('g', 'green', 3)} USING (ix, iy))
+SELECT ix, iy, urban, water, CASE WHEN urban THEN 0 WHEN z > 400 AND NOT water THEN greatest(green, 0.4::DOUBLE) ELSE green END::DOUBLE AS green FROM m JOIN c USING (ix, iy)"""
+)
+def landcover_masks(spark: SparkSession, sf: str) -> DataFrame:
+    """Built-up, wet and green cells of colour classes, with high ground protected."""
+    cells = fx.grid(spark, sf).withColumn("cls", (F.floor(F.col("ix") / 6) * 7 + F.floor(F.col("iy") / 4) * 3) % 13 - 1)
+    return masks.landcover_masks(cells, "cls", F.col("z"))
+
+
+@query(
+    f"""WITH {fx.SQL_GRID}, t AS (SELECT ix, iy, CASE WHEN ix % 3 > 0 THEN z / 2000 ELSE 0 END AS tree, ix / 125 AS green, iy % 10 / 10 AS w FROM grid),
+s AS (SELECT *, coalesce(tree > 0.05::DOUBLE, false) AS wood FROM t), k AS (SELECT *, CASE WHEN wood THEN greatest(green, 0.8::DOUBLE) ELSE green END AS shade FROM s)
+SELECT ix, iy, 0.1::DOUBLE * shade AS canopy, 0.3::DOUBLE * shade AS disturbance, CASE WHEN wood THEN greatest(w, 0.15::DOUBLE) ELSE w END AS w FROM k"""
+)
+def landcover_modulation(spark: SparkSession, sf: str) -> DataFrame:
+    cells = fx.grid(spark, sf).select("ix", "iy", F.when(F.col("ix") % 3 > 0, F.col("z") / 2000).otherwise(0.0).alias("tree"), (F.col("ix") / 125).alias("green"), (F.col("iy") % 10 / 10).alias("w"), F.lit(0.1).alias("canopy"), F.lit(0.3).alias("disturbance"))
+    return masks.modulate(cells, "green", "tree", ["canopy", "disturbance"], "w").select("ix", "iy", "canopy", "disturbance", "w")
+
+
+@query(f"WITH {fx.SQL_GRID}, t AS (SELECT ix, iy, (z / 1800 >= 0.7::DOUBLE)::INT AS f FROM grid) SELECT a.ix, a.iy, avg(n.f) AS density FROM {_sql_box('t', 't', 3)} GROUP BY a.ix, a.iy")
+def favourable_density(spark: SparkSession, sf: str) -> DataFrame:
+    cells = fx.grid(spark, sf).withColumn("tree", F.col("z") / 1800)
+    return masks.favourable_density(cells, "tree", fx.CELL, "density").select("ix", "iy", "density")
+
+
+@query(_SQL_HSV + "SELECT avg((r > 250 AND g > 250 AND b > 250)::INT) > 0.95::DOUBLE AS blank FROM c")
+def blank_mosaic(spark: SparkSession, sf: str) -> DataFrame:
+    return masks.is_blank(fx.pixels(spark, sf))
+
+
+@query(
+    """WITH t AS (SELECT floor((west + 180) / 360 * 4096)::BIGINT AS x0, floor((east + 180) / 360 * 4096)::BIGINT AS x1,
+    floor((1 - ln(tan(radians(north)) + 1 / cos(radians(north))) / pi()) / 2 * 4096)::BIGINT AS y0, floor((1 - ln(tan(radians(south)) + 1 / cos(radians(south))) / pi()) / 2 * 4096)::BIGINT AS y1 FROM sectors),
+b AS (SELECT min(x0) AS x0, max(x1) + 1 AS x1, min(y0) AS y0, max(y1) + 1 AS y1 FROM t)
+SELECT x0 / 4096 * 360 - 180 AS west, x1 / 4096 * 360 - 180 AS east, degrees(atan(sinh(pi() * (1 - 2 * y1 / 4096)))) AS south, degrees(atan(sinh(pi() * (1 - 2 * y0 / 4096)))) AS north FROM b"""
+)
+def tile_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    return landcover.bounds_of_tiles(tile_ids(spark, sf), 12)
+
+
+@query(
+    f"""WITH c AS (SELECT forest_id, essence, code_tfv, tfv, tfv_g11, upper(trim(code_tfv)) AS code FROM forest),
+p AS (SELECT *, string_split(replace(code, 'G', '-'), '-') AS parts FROM c),
+q AS (SELECT *, list_filter(list_transform(CASE WHEN code LIKE 'LA%' THEN parts ELSE parts[2:] END, lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: length(x) >= 2) AS digits FROM p),
+m AS (SELECT map_from_entries(list((k, v))) AS names FROM {_values(fixed.VEGETATION_SPECIES.items())}),
+d AS (SELECT DISTINCT tfv AS e FROM forest), r AS (SELECT e, CASE WHEN length(e) >= 3 THEN {_first_in('lower(e)', fixed.TEXT_PATTERNS)} END AS name FROM d),
+k AS (SELECT q.*, (SELECT v FROM {_values(fixed.VEGETATION_NAMES.items())} WHERE k = essence) AS a1, r.name AS a3,
+    CASE WHEN code_tfv IS NULL OR length(code_tfv) < 2 OR code LIKE 'FH%' THEN NULL WHEN code LIKE 'FP%' THEN 'peuplier'
+         ELSE list_filter(list_transform(digits, lambda x: names[x[1:2]]), lambda x: x IS NOT NULL)[1] END AS a2,
+    CASE WHEN code_tfv IS NULL OR length(code_tfv) < 2 OR code LIKE 'FH%' THEN 0 WHEN code LIKE 'FP%' THEN 1 WHEN code LIKE 'LA%' THEN 4
+         WHEN regexp_matches(code, '^F[FO][01]') THEN 1 WHEN regexp_matches(code, '^F[FO]2') THEN 2 WHEN regexp_matches(code, '^F[FO]3') THEN 3 ELSE 0 END AS ft,
+    (SELECT v::INT FROM {_values([(a, str(b)) for a, b in fixed.FOREST_KINDS.items()])} WHERE k = tfv_g11) AS g11
+    FROM q CROSS JOIN m LEFT JOIN r ON q.tfv IS NOT DISTINCT FROM r.e)
+SELECT forest_id, coalesce(a1, a2, a3, 'unknown') AS species, CASE WHEN a1 IS NULL AND ft > 0 THEN ft ELSE coalesce(g11, 0) END AS forest_type FROM k"""
+)
+def vegetation_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """Species and kind of forest of every stand: exact name, code, then patterns of the text."""
+    return resolve.vegetation_cascade(table(spark, sf, "forest"), "essence", "code_tfv", ["tfv"], "tfv_g11").select("forest_id", "species", "forest_type")
+
+
+@query(
+    _SQL_MODEL
+    + " UNION ALL ".join(
+        f"SELECT '{k}' AS criterion, count(*) FILTER (s_{k} IS NULL) AS missing, min(s_{k}) AS low, max(s_{k}) AS high, min(s_{k}) >= -0.001::DOUBLE AND max(s_{k}) <= 1.001::DOUBLE AS valid FROM scored" for k in ("geology", "tree_species", "altitude", "slope", "twi")
+    )
+)
+def score_validation(spark: SparkSession, sf: str) -> DataFrame:
+    names = ["geology", "tree_species", "altitude", "slope", "twi"]
+    return model.validate(scored_cells(spark, sf).select(*[F.col(f"s_{k}").alias(k) for k in names]), names)
+
+
+_SQL_CLOSED = f"""{fx.SQL_GRID}, top AS (SELECT *, coalesce(z / 2000 >= 0.85::DOUBLE, false) AS h FROM grid),
+wide AS (SELECT a.ix, a.iy, bool_or(n.h) AS h FROM {_sql_box('top', 'top', 1)} GROUP BY a.ix, a.iy),
+closed AS (SELECT a.ix, a.iy FROM {_sql_box('wide', 'wide', 1)} GROUP BY a.ix, a.iy HAVING bool_and(n.h) AND count(*) = 9),
+hot AS (SELECT grid.*, iy * 125 + ix AS id FROM grid JOIN closed USING (ix, iy))"""
+
+
+@query(
+    f"""WITH RECURSIVE {_SQL_CLOSED}, {_SQL_REGION} SELECT region, count(*) AS n_cells, avg(coalesce(z / 2000, 0)) AS mean_score, max(coalesce(z / 2000, 0)) AS max_score, avg(coalesce(z, 0)) AS altitude FROM region GROUP BY region HAVING count(*) >= 4"""
+)
+def hotspots_closed(spark: SparkSession, sf: str) -> DataFrame:
+    """All regions of high scores after closing, without a limit."""
+    cells = fx.grid(spark, sf).select("ix", "iy", (F.col("z") / 2000).alias("score"), F.col("z").alias("altitude"), F.lit(0.0).alias("slope"), "species", "geology")
+    return model.hotspots(cells, fx.NX, fx.CELL, threshold=0.85).select("region", "n_cells", "mean_score", "max_score", "altitude")
+
+
 # --- all together ----------------------------------------------------------------------------
 
 

@@ -1058,18 +1058,34 @@ def hotspots_closed(spark: SparkSession, sf: str) -> DataFrame:
 # --- all together ----------------------------------------------------------------------------
 
 
-def suitability(g: DataFrame) -> DataFrame:
-    """The whole model over a grid ``ix, iy, z, zs, species, geology, water, urban``: all measures and scores, and the class.
-
-    Terrain comes from the smooth surface: slope, roughness and wetness; distances to water
-    and built-up cells are bounded where their curves are flat.
+def suitability(g: DataFrame, built_up: DataFrame | None = None, water: DataFrame | None = None, contacts: DataFrame | None = None, weather: float | None = None) -> DataFrame:
+    """The whole model over a grid ``ix, iy, z, zs, species, geology, water, urban``: all measures, scores and the class.
+
+    In order: terrain (slope, roughness, wetness) from the smooth surface; the built-up mask
+    (of the cells and of areas ``parts, urban_type``); water distance and bonus (of the cells
+    and of lines ``parts, bonus``); contact lines ``parts``; the criterion scores, weighted;
+    hard exclusions; the fade towards excluded cells; the penalties for even ground and for
+    dry limestone; smoothing over the cells that are not excluded; the weather factor; the
+    class. Distances are exact however far. ``score`` is the final score, ``raw`` the
+    weighted one, ``excluded`` whether any exclusion holds.
     """
-    terrain = focal.slope_aspect(g, "zs", fx.CELL)
-    terrain = focal.box_std(terrain, "slope", 5, "roughness")
-    water = focal.distance_within(g, "water", 100, "__w")
-    urban = focal.distance_within(g, "urban", 25, "__u")
-    cells = terrain.join(wetness(g), ["ix", "iy"]).join(water, ["ix", "iy"]).join(urban, ["ix", "iy"])
-    cells = cells.withColumns({"altitude": F.col("zs"), "dist_water": F.col("__w") * fx.CELL, "dist_urban": F.col("__u") * fx.CELL, "nodata": F.col("z").isNull()})
+    keys = ["ix", "iy"]
+    cells = focal.box_std(focal.slope_aspect(g, "zs", fx.CELL), "slope", 5, "roughness").drop("urban", "water")
+    town = g.select(*keys, "urban")
+    if built_up is not None:
+        areas = masks.urban_mask(g, built_up, fx.CELL).withColumnRenamed("urban", "__u")
+        town = town.join(areas, keys).select(*keys, (F.coalesce("urban", F.lit(False)) | F.col("__u")).alias("urban"))
+    wet = g.select(*keys, "water")
+    if water is not None:
+        burned = masks.mask_of(g, None, water.select("parts"), lines_reach=2.0 / fx.CELL)
+        wet = wet.join(burned, keys).select(*keys, (F.coalesce("water", F.lit(False)) | F.col("inside")).alias("water"))
+        cells = cells.join(masks.water_bonus(g, None, water, fx.CELL), keys)
+    else:
+        cells = cells.withColumn("factor", F.lit(1.0))
+    far = lambda mask, name, out: focal.distance(mask, name, "__d").select(*keys, (F.col("__d") * fx.CELL).alias(out))
+    cells = cells.join(wetness(g), keys).join(town, keys).join(wet, keys).join(far(wet, "water", "dist_water"), keys).join(far(town, "urban", "dist_urban"), keys)
+    cells = cells.join(masks.contact_distance(g, contacts, fx.CELL), keys) if contacts is not None else cells.withColumn("dist_contact", F.lit(None).cast("double"))
+    cells = cells.withColumns({"altitude": F.col("zs"), "nodata": F.col("z").isNull()})
     known = resolve.scored(resolve.species(F.col("species")), fixed.SPECIES_SCORES)
     scores = {
         "geology": resolve.scored(F.col("geology"), fixed.GEOLOGY_SCORES),
@@ -1079,20 +1095,33 @@ def suitability(g: DataFrame) -> DataFrame:
         "aspect": curves.aspect_score(F.col("aspect"), F.col("slope")),
         "terrain_roughness": curves.ROUGHNESS.of(F.col("roughness")),
         "twi": curves.TWI.of(F.col("twi")),
-        "dist_water": F.coalesce(curves.WATER.of(F.col("dist_water")), F.lit(0.0)),
+        "dist_water": masks.water_score(F.col("dist_water"), F.col("factor")),
         "urban_proximity": curves.URBAN.of(F.col("dist_urban")),
         "canopy_openness": F.lit(0.10),
         "ground_cover": curves.ground_cover_score(F.col("slope")),
         "disturbance": F.lit(0.3),
-        "geology_contact": F.lit(0.2),
+        "geology_contact": curves.CONTACT.of(F.col("dist_contact")),
     }
-    raw, _ = model.weighted(scores)
+    cells = cells.withColumns({f"s_{k}": c for k, c in scores.items()})
+    raw, coverage = model.weighted({k: F.col(f"s_{k}") for k in scores})
     out = F.lit(False)
     for c in model.exclusions(cells).values():
         out = out | c
-    return cells.withColumn("score", F.when(out, 0.0).otherwise(raw)).withColumn("class", model.class_of(F.col("score"))).drop("__w", "__u")
+    cells = cells.withColumns({"raw": raw, "coverage": coverage, "excluded": out})
+    steps = far(cells, "excluded", "__e").select(*keys, (F.col("__e") / fx.CELL).alias("__e"))
+    cells = cells.join(steps, keys).withColumn("score", F.when(F.col("excluded"), 0.0).otherwise(model.fade(F.col("raw"), F.col("__e"), 15.0, fx.CELL))).drop("__e")
+    lowered = model.monotony(cells, "score", "slope", "altitude", "__s", "excluded")
+    cells = cells.join(lowered, keys).drop("score").withColumnRenamed("__s", "score")
+    dry = (enrich.substrate_of(F.col("geology"), F.col("slope")) == 1) & (F.col("altitude") < 700) & (F.col("slope") > 10) & ~F.col("excluded")
+    cells = cells.withColumn("score", model.dry_limestone(F.col("score"), dry, F.col("roughness"), F.col("twi")))
+    smooth = focal.normalized_gaussian(cells.select(*keys, F.when(~F.col("excluded"), F.col("score")).alias("__v")), "__v", 2.0, "__s")
+    cells = cells.join(smooth, keys).withColumn("score", F.when(F.col("excluded"), 0.0).otherwise(F.col("__s") * (1.0 if weather is None else 0.4 + 0.6 * weather))).drop("__s")
+    return cells.withColumn("class", model.class_of(F.col("score")))
 
 
 @query()
 def suitability_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
-    return model.distribution(suitability(fx.grid(spark, sf)), "score")
+    """The number of cells of each class, with all layers."""
+    lines = fx.lines(spark, sf)
+    done = suitability(fx.grid(spark, sf), fx.built_up(spark, sf), lines, lines.where("seq % 3 = 0").select("parts"))
+    return model.distribution(done, "score")

@@ -279,9 +279,20 @@ def signs_cost(reading: str, model: CharModel) -> float:
     return sum(3 * COST_STRANGE_SIGN if "\x80" <= c <= "\x9f" or c == "�" else COST_STRANGE_SIGN if "─" <= c <= "▟" else 1.0 for c in rest if c > "\x7f")
 
 
+_models: dict[int, CharModel] = {}
+
+
+def _model_of(grams: dict[str, float]) -> CharModel:
+    """The character model of this process, made once for a broadcast."""
+    if id(grams) not in _models:
+        _models.clear()
+        _models[id(grams)] = CharModel(grams)
+    return _models[id(grams)]
+
+
 def _read_spans(grams) -> object:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = CharModel(grams.value)
+        model = _model_of(grams.value)
         for batch in batches:
             rows = []
             for span in batch["span"]:
@@ -329,7 +340,8 @@ def span_readings(values: DataFrame, words: DataFrame) -> DataFrame:
         raise ValueError(f"more than {MOST_GRAMS} trigrams of letters")
     total = float(sum(g["n"] for g in grams if g["gram"].startswith("^^"))) or 1.0
     shared = spark.sparkContext.broadcast({g["gram"]: float(g["n"]) for g in grams})
-    read = spans.select("span").mapInPandas(_read_spans(shared), "span string, reading string, base double, word string, spelled double")
+    # few bytes, much work: spread by number, since by size they would all be one task
+    read = spans.select("span").repartition(2 * spark.sparkContext.defaultParallelism, "span").mapInPandas(_read_spans(shared), "span string, reading string, base double, word string, spelled double")
     known = read.join(counts.withColumnRenamed("term", "word"), "word", "left").join(spans, "span")
     n = F.coalesce("n", F.lit(0)) - F.when(F.lower("reading") == F.lower("span"), F.col("own")).otherwise(0)
     word_cost = F.when(n > 0, F.least("spelled", -F.log(n / total))).otherwise(F.col("spelled"))

@@ -91,18 +91,13 @@ FORMED = ("forest.essence", "forest.essence_canonical")
 
 def p4_forms(spark: SparkSession, sf: str) -> DataFrame:
     """Every value in the one form, and whether it held imitating characters."""
-    rows = rows_of(spark, sf, FORMED)
-    odd = rows.where(~F.col("value").rlike(visual.PLAIN)).select("value").distinct()
-    done = rows.join(visual.visual_forms(odd), "value", "left")
-    plain = F.trim(F.regexp_replace("value", r"\s+", " "))
-    return done.select("field", "row_id", F.coalesce("form", plain).alias("form"), F.coalesce("imitates", F.lit(False)).alias("imitates"))
+    return visual.with_forms(rows_of(spark, sf, FORMED), "value").select("field", "row_id", "form", "imitates")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    rows = rows_of(spark, sf, FORMED).where(~F.col("value").rlike(visual.PLAIN))
-    forms = visual.visual_forms(rows.select("value").distinct()).where("imitates and length(form) > 0").select("value")
+    odd = visual.with_forms(rows_of(spark, sf, FORMED).where(~F.col("value").rlike(visual.PLAIN)), "value").where("imitates and length(form) > 0")
     damaged = damaged_values(spark, sf).select(F.explode(F.array(*map(F.lit, DAMAGED))).alias("field"), "value")
-    return rows.join(forms, "value").join(damaged, ["field", "value"], "left_anti").select("field", "row_id")
+    return odd.join(damaged, ["field", "value"], "left_anti").select("field", "row_id")
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:

@@ -34,10 +34,19 @@ def visual_forms(values: DataFrame) -> DataFrame:
     return values.select(F.col("value").cast("string")).mapInArrow(_forms, "value string, form string, imitates boolean")
 
 
-def odd_values(df: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """The distinct values that are not plain already: ``value, n``."""
-    each = [df.select(df[c].cast("string").alias("value")) for c in fields]
-    values = each[0]
-    for more in each[1:]:
-        values = values.unionAll(more)
-    return values.where(~F.col("value").rlike(PLAIN)).groupBy("value").agg(F.count("*").alias("n"))
+def with_forms(df: DataFrame, column: str) -> DataFrame:
+    """All rows of ``df`` with the common form of a text column and whether it imitates: adds ``form, imitates``.
+
+    One pass over Arrow batches beside the rows, without a shuffle; columns of these names
+    are replaced.
+    """
+    rest = [c for c in df.columns if c not in ("form", "imitates")]
+    at = rest.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            form, changed = canonical(batch.column(at).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, form.cast(pa.string()), pa.array(np.asarray(changed))], [*rest, "form", "imitates"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*rest).schema)
+    return df.select(*rest).mapInArrow(run, f"{fields}, form string, imitates boolean")

@@ -148,7 +148,7 @@ class CharModel:
         self.capitals = [c.upper() for c in self.letters if len(c.upper()) == 1 and c.upper() > "\x7f" and c.upper() != c]
         self.usual = {*self.letters, *self.capitals}
         self.rare = {f for n, c in some if n <= 1e-4 * self.total for f in (c, c.upper())}
-        self.beam = max(BEAM, 2 * (len(self.usual) + 2))  # no letter of a single wildcard falls out
+        self.beam = max(BEAM, 2 * (len(self.usual) + 2))
         self.cache: dict[str, float] = {}
 
     def cost(self, gram: str) -> float:
@@ -169,11 +169,6 @@ def trigrams(word: str) -> list[str]:
     return [text[k : k + 3] for k in range(len(text) - 2)]
 
 
-def _case(before: str, to: str) -> float:
-    """A capital amid small letters is unlikely."""
-    return COST_CASE if to.isupper() and before.islower() else 0.0
-
-
 def edges(text: str, at: int, model: CharModel) -> list[tuple[int, str, float]]:
     """(length, reading, cost) of the edges that leave a position of the lattice."""
     ch = text[at]
@@ -221,36 +216,54 @@ def worth_reading(span: str, model: CharModel) -> bool:
     return False
 
 
+def _spells_utf8(text: str) -> bool:
+    return any(c > "\x7f" and bool(utf8_edges(text[k : k + 3])) for k, c in enumerate(text))
+
+
 def readings(span: str, model: CharModel, rounds: int = 3) -> dict[str, float]:
     """Viterbi search: the cheapest readings of a span, with what the channel asks for them.
 
-    A state is a reading so far; it carries the channel's cost and that of its characters
-    under the trigram model, and the cheapest states of each position go on. Readings that
-    still spell UTF-8 sequences are read again.
+    A state is all that the cost of what follows depends on: the last two characters, the
+    case of the last, whether another encoding has been paid for, and whether a rare letter
+    was read. Ways that meet in a state are merged, and each state keeps the KEPT cheapest;
+    of all states of a position the BEAM cheapest ways go on, or twice as many as there are
+    accented letters, so no letter of a single wildcard falls out. The KEPT cheapest readings
+    come out with usual letters only, and as many with rare ones. Readings that still spell
+    UTF-8 sequences are read again.
     """
     best: dict[str, float] = {span: 0.0}
     fresh = {span: 0.0}
     for turn in range(rounds):
         grown: dict[str, float] = {}
         for text, cost in fresh.items():
-            front: list[dict[str, tuple[float, float]]] = [{} for _ in range(len(text) + 3)]
-            front[0][""] = (0.0, 0.0)
+            # front[at][state][reading so far] = (cost of the channel, cost of the characters)
+            front: list[dict[tuple, dict[str, tuple[float, float]]]] = [defaultdict(dict) for _ in range(len(text) + 3)]
+            front[0]["", False, False, False][""] = (0.0, 0.0)
             for at in range(len(text)):
-                here = sorted(front[at].items(), key=lambda x: x[1][0] + x[1][1])[: model.beam]
+                merged = [(sum(step), state, now, step) for state, some in front[at].items() for now, step in sorted(some.items(), key=lambda x: sum(x[1]))[:KEPT]]
+                here: dict[tuple, list] = defaultdict(list)
+                for _, state, now, step in sorted(merged)[: model.beam]:
+                    here[state].append((now, step))
                 front[at] = {}
                 ways = edges(text, at, model) if here else []
-                for n, to, price in ways:
-                    for so_far, (channel, source) in here:
-                        asked = COST_PAGE_AGAIN if price in (COST_PAGE, COST_PAGE_CASED) and channel > 0 else price
-                        now = so_far + to
-                        step = (channel + asked + (_case(so_far[-1:], to) if to > "\x7f" else 0.0), source + model.cost(("^^" + now.lower())[-3:]))
-                        old = front[at + n].get(now)
-                        if old is None or sum(step) < sum(old):
-                            front[at + n][now] = step
-            ranked = sorted(front[len(text)].items(), key=lambda x: sum(x[1]))
-            odd = [bool(model.rare.intersection(t)) for t, _ in ranked]  # rare letters take no place of the usual ones
-            ends = [end for kind in (False, True) for end in [e for e, o in zip(ranked, odd, strict=True) if o == kind][:KEPT]]
-            for now, (channel, _) in [*ends, *((t, c) for t, c in front[len(text)].items() if t == text)]:
+                for (tail, low, paged, odd), kept in here.items():
+                    for n, to, price in ways:
+                        asked = COST_PAGE_AGAIN if paged and price in (COST_PAGE, COST_PAGE_CASED) else price
+                        asked += COST_CASE if low and to > "\x7f" and to.isupper() else 0.0
+                        gram = ("^^" + tail + to.lower())[-3:]
+                        spelled = model.cost(gram)
+                        goal = front[at + n][gram[1:].replace("^", ""), to.islower(), paged or asked > 0, odd or to in model.rare]
+                        for so_far, (channel, source) in kept:
+                            now = so_far + to
+                            step = (channel + asked, source + spelled)
+                            old = goal.get(now)
+                            if old is None or step[0] + step[1] < old[0] + old[1]:
+                                goal[now] = step
+            done = {now: (step, state[3]) for state, some in front[len(text)].items() for now, step in some.items()}
+            ranked = sorted(done.items(), key=lambda x: sum(x[1][0]))
+            # rare letters take no place of the usual ones
+            ends = [(now, step) for kind in (False, True) for now, (step, odd) in [e for e in ranked if e[1][1] == kind][:KEPT]]
+            for now, (channel, _) in [*ends, *((t, s) for t, (s, _) in done.items() if t == text)]:
                 if now == text and turn == 0:
                     best[span] = channel
                 elif now != text and cost + channel < grown.get(now, math.inf):
@@ -259,7 +272,7 @@ def readings(span: str, model: CharModel, rounds: int = 3) -> dict[str, float]:
         for now, cost in grown.items():
             if cost < best.get(now, math.inf):
                 best[now] = cost
-                if any(c > "\x7f" and utf8_edges(now[k : k + 3]) for k, c in enumerate(now)):
+                if _spells_utf8(now):
                     fresh[now] = cost
         if not fresh:
             break
@@ -341,7 +354,7 @@ def span_readings(values: DataFrame, words: DataFrame) -> DataFrame:
     total = float(sum(g["n"] for g in grams if g["gram"].startswith("^^"))) or 1.0
     shared = spark.sparkContext.broadcast({g["gram"]: float(g["n"]) for g in grams})
     # few bytes, much work: spread by number, since by size they would all be one task
-    read = spans.select("span").repartition(2 * spark.sparkContext.defaultParallelism, "span").mapInPandas(_read_spans(shared), "span string, reading string, base double, word string, spelled double")
+    read = spans.select("span").repartition(2 * spark.sparkContext.defaultParallelism, F.xxhash64("span")).mapInPandas(_read_spans(shared), "span string, reading string, base double, word string, spelled double")
     known = read.join(counts.withColumnRenamed("term", "word"), "word", "left").join(spans, "span")
     n = F.coalesce("n", F.lit(0)) - F.when(F.lower("reading") == F.lower("span"), F.col("own")).otherwise(0)
     word_cost = F.when(n > 0, F.least("spelled", -F.log(n / total))).otherwise(F.col("spelled"))

@@ -65,10 +65,8 @@ def normal_forest(df: DataFrame, source: str) -> DataFrame:
 def normal_geology(df: DataFrame, source: str) -> DataFrame:
     """Features with ``descr, notation, geology_canonical, geology_score, source``."""
     descr, notation = _first_of(["DESCR", "descr", "DESCRIPTION", "LITHO"]), _first_of(["NOTATION", "notation", "CODE"])
-    category = resolve.geology_cascade(descr, notation)
-    return df.withColumns(
-        {"descr": descr, "notation": notation, "geology_canonical": category, "geology_score": resolve.scored(category, fixed.GEOLOGY_SCORES), "source": F.lit(source)}
-    )
+    named = resolve.geology_cascade(df.withColumns({"descr": descr, "notation": notation}), "descr", "notation", "geology_canonical")
+    return named.withColumns({"geology_score": resolve.scored(F.col("geology_canonical"), fixed.GEOLOGY_SCORES), "source": F.lit(source)})
 
 
 def normal_water(df: DataFrame, source: str) -> DataFrame:

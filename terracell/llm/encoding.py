@@ -259,7 +259,11 @@ def readings(span: str, model: CharModel, rounds: int = 3) -> dict[str, float]:
                             old = goal.get(now)
                             if old is None or step[0] + step[1] < old[0] + old[1]:
                                 goal[now] = step
-            done = {now: (step, state[3]) for state, some in front[len(text)].items() for now, step in some.items()}
+            done: dict[str, tuple[tuple[float, float], bool]] = {}
+            for (_, _, _, odd), some in front[len(text)].items():
+                for now, step in some.items():  # one reading can end in several states: its cheapest way counts
+                    if now not in done or sum(step) < sum(done[now][0]):
+                        done[now] = step, odd
             ranked = sorted(done.items(), key=lambda x: sum(x[1][0]))
             # rare letters take no place of the usual ones
             ends = [(now, step) for kind in (False, True) for now, (step, odd) in [e for e in ranked if e[1][1] == kind][:KEPT]]

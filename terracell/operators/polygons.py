@@ -3,9 +3,12 @@
 A shape is a list of parts, each a list of (x, y) in cell units; cell (ix, iy) is the square
 from (ix, iy) to (ix + 1, iy + 1), its lower borders included. The parts of a polygon are
 rings, closed where they are not, and a place inside an odd number of them is inside (so
-rings may be holes or further polygons). Shapes are cut into bands of rows first, so the work
-on a large one is spread over tasks and no task sees more of its outline than lies in the
-band; in a band all edges meet all their rows at once in numpy.
+rings may be holes or further polygons). All edges of some shapes meet all their rows at once
+in numpy; a shape with more than ``WORK`` of these pairs is cut into bands of rows for it.
+
+Burning resolves the runs of a stretch of a row in their order, before they meet any cell, so
+a cell meets one list of values however many shapes lie over it. Joins never broadcast: how
+many runs a shape has is not to be seen from the size of its table.
 """
 
 from __future__ import annotations
@@ -19,17 +22,27 @@ from pyspark.sql import functions as F
 
 BAND = 512
 STRETCH = 256
+WORK = 1 << 20
 
 
-def _edges(parts: Column, filled: bool) -> Column:
-    """The edges of all parts as (x1, y1, x2, y2)."""
-
-    def of_part(part: Column) -> Column:
-        after = F.slice(part, 2, F.size(part))
-        ends = F.concat(after, F.slice(part, 1, 1)) if filled else F.concat(after, F.slice(part, -1, 1))
-        return F.zip_with(part, ends, lambda a, b: F.array(a[0], a[1], b[0], b[1]))
-
-    return F.flatten(F.transform(F.filter(parts, lambda p: F.size(p) > 0), of_part))
+def _edges(parts: pa.ListArray, filled: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(shape, edge) of the edges (x1, y1, x2, y2) of all parts; without those of shapes with a point that is not two finite numbers."""
+    of_shape, of_part, of_point = parts.offsets.to_numpy(), parts.values.offsets.to_numpy(), parts.values.values.offsets.to_numpy()
+    numbers = parts.values.values.values.to_numpy(zero_copy_only=False)
+    numbers = np.concatenate([numbers, [np.nan, np.nan]])  # where points without numbers at the end begin
+    start = of_point[:-1]
+    place = np.where((np.diff(of_point) >= 2)[:, None], np.column_stack([numbers[start], numbers[start + 1]]), np.nan)
+    size = np.diff(of_part[of_shape[0] : of_shape[-1] + 1])
+    shape = np.repeat(np.repeat(np.arange(len(parts)), np.diff(of_shape)), size)
+    first, last = of_part[of_shape[0]], of_part[of_shape[-1]]
+    after = np.arange(first, last) + 1
+    ends = np.cumsum(size)[size > 0] - 1
+    after[ends] = first + (ends - size[size > 0] + 1 if filled else ends)
+    edge = np.column_stack([place[first:last], place[after]])
+    bad = np.zeros(len(parts), bool)
+    bad[shape[~np.isfinite(edge).all(axis=1)]] = True
+    good = ~bad[shape]
+    return shape[good], edge[good]
 
 
 def _expand(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,31 +130,44 @@ def spans(shapes: DataFrame, parts: str, extent: tuple[int, int, int, int], touc
     rest = [c for c in shapes.columns if c != parts]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shapes.select(*rest).schema)
     x0, y0, x1, y1 = extent
-    at = shapes.where(F.col(parts).isNotNull()).withColumn("__poly_e", _edges(F.col(parts).cast("array<array<array<double>>>"), filled)).drop(parts)
-    finite = lambda e: ~F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    at = at.where((F.size("__poly_e") > 0) & F.forall("__poly_e", finite))
-    ys = F.flatten(F.transform("__poly_e", lambda e: F.array(e[1], e[3])))
-    low, high = F.greatest(F.floor(F.array_min(ys) - reach), F.lit(y0)), F.least(F.floor(F.array_max(ys) + reach), F.lit(y1))
-    at = at.withColumns({"__poly_lo": low.cast("long"), "__poly_hi": high.cast("long")}).where("__poly_lo <= __poly_hi")
-    at = at.withColumn("__poly_b", F.explode(F.sequence(F.floor(F.col("__poly_lo") / BAND).cast("long"), F.floor(F.col("__poly_hi") / BAND).cast("long"))))
-    above, below = F.col("__poly_b") * BAND - reach, (F.col("__poly_b") + 1) * BAND + reach
-    at = at.withColumn("__poly_e", F.filter("__poly_e", lambda e: (F.greatest(e[1], e[3]) >= above) & (F.least(e[1], e[3]) <= below)))
-    at = at.withColumns({"__poly_lo": F.greatest(F.col("__poly_lo"), F.col("__poly_b") * BAND), "__poly_hi": F.least(F.col("__poly_hi"), (F.col("__poly_b") + 1) * BAND - 1)}).drop("__poly_b")
+    band, work = BAND, WORK
+
+    def pieces(shape: np.ndarray, edge: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(shape, edge, first, last) of what is looked at together."""
+        low = np.clip(np.floor(np.minimum(edge[:, 1], edge[:, 3]) - reach), y0, y1 + 1).astype(np.int64)
+        high = np.clip(np.floor(np.maximum(edge[:, 1], edge[:, 3]) + reach), y0 - 1, y1).astype(np.int64)
+        there = low <= high
+        shape, edge, low, high = (v[there] for v in (shape, edge, low, high))
+        if not len(shape):
+            return
+        begin = np.flatnonzero(np.concatenate([[True], shape[1:] != shape[:-1]]))
+        each, sofar = np.add.reduceat(high - low + 1, begin), 0
+        stops = []
+        for k, n in enumerate(each.tolist()):
+            if k and sofar + n > work:
+                stops.append(begin[k])
+                sofar = 0
+            sofar += n
+        for at, some in zip(np.split(np.arange(len(shape)), stops), np.split(high - low + 1, stops), strict=True):
+            if some.sum() <= work:
+                yield shape[at], edge[at], np.full(len(at), y0), np.full(len(at), y1)
+                continue
+            for k in range(low[at].min() // band, high[at].max() // band + 1):
+                near = at[(low[at] < (k + 1) * band) & (high[at] >= k * band)]
+                if len(near):
+                    yield shape[near], edge[near], np.full(len(near), max(y0, k * band)), np.full(len(near), min(y1, (k + 1) * band - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("__poly_e")
-            size = np.diff(lists.offsets.to_numpy())
-            edge = lists.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
-            shape = np.repeat(np.arange(batch.num_rows), size)
-            lo, hi = (batch.column(c).to_numpy()[shape] for c in ("__poly_lo", "__poly_hi"))
-            whose, row, a, b = runs(shape, edge, lo, hi, filled, touched, reach)
-            a, b = np.maximum(a, x0), np.minimum(b, x1)
-            inside = a <= b
-            keep = pa.array(whose[inside])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(keep) for c in rest), pa.array(row[inside]), pa.array(a[inside]), pa.array(b[inside])], [*rest, "iy", "x0", "x1"])
+            for piece in pieces(*_edges(batch.column(parts), filled)):
+                whose, row, a, b = runs(*piece, filled, touched, reach)
+                a, b = np.maximum(a, x0), np.minimum(b, x1)
+                inside = a <= b
+                keep = pa.array(whose[inside])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(keep) for c in rest), pa.array(row[inside]), pa.array(a[inside]), pa.array(b[inside])], [*rest, "iy", "x0", "x1"])
 
-    return at.select(*rest, "__poly_e", "__poly_lo", "__poly_hi").mapInArrow(run, f"{fields + ', ' if rest else ''}iy bigint, x0 bigint, x1 bigint")
+    at = shapes.where(F.col(parts).isNotNull()).withColumn(parts, F.col(parts).cast("array<array<array<double>>>"))
+    return at.select(*rest, parts).mapInArrow(run, f"{fields + ', ' if rest else ''}iy bigint, x0 bigint, x1 bigint")
 
 
 def extent_of(cells: DataFrame) -> tuple[int, int, int, int]:
@@ -158,7 +184,85 @@ def cells_in_shapes(
     Runs are cut at every 256th column; cells and runs meet in an equi-join on the row and
     the stretch of columns. Columns of the shapes must have other names than those of the cells.
     """
-    found = spans(shapes, parts, extent or extent_of(cells), touched, reach, filled)
-    found = found.withColumn("__poly_s", F.explode(F.sequence(F.floor(F.col("x0") / STRETCH), F.floor(F.col("x1") / STRETCH))))
-    at = cells.withColumns({"__poly_s": F.floor(F.col("ix") / STRETCH), "__poly_y": F.col("iy").cast("long")})
-    return at.join(found.withColumnRenamed("iy", "__poly_y"), ["__poly_y", "__poly_s"]).where("ix between x0 and x1").drop("__poly_y", "__poly_s", "x0", "x1")
+    found = _placed(spans(shapes, parts, extent or extent_of(cells), touched, reach, filled))
+    return _stretched(cells).join(found.hint("merge"), ["__poly_y", "__poly_s"]).where("ix between x0 and x1").drop("__poly_y", "__poly_s", "x0", "x1")
+
+
+def _placed(found: DataFrame) -> DataFrame:
+    """Runs with their row ``__poly_y``, one row for each stretch ``__poly_s`` of columns."""
+    return found.withColumn("__poly_s", F.explode(F.sequence(F.floor(F.col("x0") / STRETCH), F.floor(F.col("x1") / STRETCH)))).withColumnRenamed("iy", "__poly_y")
+
+
+def _stretched(cells: DataFrame) -> DataFrame:
+    return cells.withColumns({"__poly_s": F.floor(F.col("ix") / STRETCH), "__poly_y": F.col("iy").cast("long")})
+
+
+def looked_up(cells: DataFrame, values: DataFrame, out: str) -> DataFrame:
+    """``ix, iy, out``: for all cells their place in the list ``__poly_l`` of their row and stretch; null where there is none."""
+    at = _stretched(cells.select("ix", "iy")).join(values.hint("merge"), ["__poly_y", "__poly_s"], "left")
+    return at.select("ix", "iy", F.get("__poly_l", (F.col("ix") - F.col("__poly_s") * STRETCH).cast("int")).alias(out))
+
+
+def burned(cells: DataFrame, found: DataFrame, value: Column, order: list[str], out: str) -> DataFrame:
+    """``ix, iy, out`` for all cells: of the runs ``found`` (see :func:`spans`) over a cell the value of the one last in ``order``, null where there is none.
+
+    The runs of a stretch of a row go over its cells one after the other, in batches.
+    """
+    kind = found.select(value.alias("v")).schema[0].dataType.simpleString()
+    keys = ["__poly_y", "__poly_s"]
+    runs_ = _placed(found).withColumn("__poly_v", value).repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, "x0", "x1", "__poly_v")
+    side = STRETCH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, int, pa.Array] | None = None  # the last stretch so far, which may go on in the next batch
+
+        def lists(y: np.ndarray, s: np.ndarray, values: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(y), pa.array(s), pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * side), values)], [*keys, "__poly_l"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y, s, a, b = (batch.column(c).to_numpy() for c in (*keys, "x0", "x1"))
+            fresh = np.concatenate([[True], (y[1:] != y[:-1]) | (s[1:] != s[:-1])])
+            group, begin = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+            values, place = batch.column("__poly_v"), np.full((len(begin), side), -1)
+            if held is not None:
+                if held[:2] == (y[0], s[0]):
+                    place[0] = np.arange(side) + len(values)
+                    values = pa.concat_arrays([values, held[2]])
+                else:
+                    yield lists(np.array([held[0]]), np.array([held[1]]), held[2])
+            owner, x = _expand(np.maximum(a, s * side), np.minimum(b, s * side + side - 1))
+            place[group[owner], x - s[owner] * side] = owner  # of several the last stays
+            flat = place.ravel()
+            values = values.take(pa.array(flat, mask=flat < 0))
+            done = len(begin) - 1
+            held = (int(y[begin[-1]]), int(s[begin[-1]]), values.slice(done * side))
+            if done:
+                yield lists(y[begin[:-1]], s[begin[:-1]], values.slice(0, done * side))
+        if held is not None:
+            yield lists(np.array([held[0]]), np.array([held[1]]), held[2])
+
+    return looked_up(cells, runs_.mapInArrow(run, f"__poly_y bigint, __poly_s bigint, __poly_l array<{kind}>"), out)
+
+
+def _over(cells: DataFrame, shapes: DataFrame, parts: str, touched: bool, reach: float) -> DataFrame:
+    return spans(shapes, parts, extent_of(cells), touched, reach)
+
+
+def burn_mask(cells: DataFrame, shapes: DataFrame, parts: str = "parts", touched: bool = True, reach: float = 0.0) -> DataFrame:
+    """``ix, iy, inside`` for all cells."""
+    found = burned(cells, _over(cells, shapes.select(parts), parts, touched, reach), F.lit(True), [], "inside")
+    return found.withColumn("inside", F.coalesce("inside", F.lit(False)))
+
+
+def burn_code(cells: DataFrame, shapes: DataFrame, code: str, order: list[str], parts: str = "parts", touched: bool = True, reach: float = 0.0) -> DataFrame:
+    """``ix, iy, code`` for all cells: of the shapes over a cell the one last in ``order``, 0 where there is none."""
+    kept = shapes.select(*dict.fromkeys([code, *order, parts]))
+    return burned(cells, _over(cells, kept, parts, touched, reach), F.col(code), order, "code").withColumn("code", F.coalesce("code", F.lit(0)))
+
+
+def burn_max(cells: DataFrame, shapes: DataFrame, score: str, fill: float = 0.0, parts: str = "parts", touched: bool = True, reach: float = 0.0) -> DataFrame:
+    """``ix, iy, score`` for all cells: the greatest score of the shapes over it."""
+    found = _over(cells, shapes.where(F.col(score).isNotNull()).select(score, parts), parts, touched, reach)
+    return burned(cells, found, F.col(score), [score], "score").withColumn("score", F.coalesce("score", F.lit(fill)))

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terracell.operators import polygons, spatial
 from tests.conftest import rows
@@ -98,3 +99,27 @@ def test_hole_and_repeated_rows_and_burning(spark):
     got = {(r.ix, r.iy): r.score for r in spatial.burn_max(cells(spark, 10, 9), shapes, "score", within=within).collect()}
     assert len(got) == 90 and got[4, 4] == 0.25 and got[0, 0] == 0.5 and got[9, 0] == 0.0
     assert sum(r.inside for r in spatial.burn_mask(cells(spark, 10, 9), shapes.where("seq = 1"), within).collect()) == 72
+
+
+@pytest.mark.parametrize("work", [1, 40])
+def test_large_shapes_by_bands_and_stretches(spark, monkeypatch, work):
+    monkeypatch.setattr(polygons, "WORK", work)
+    monkeypatch.setattr(polygons, "BAND", 3)
+    monkeypatch.setattr(polygons, "STRETCH", 5)
+    rng = random.Random(work)
+    shapes = [(k, [[[rng.uniform(-3, 15), rng.uniform(-3, 12)] for _ in range(rng.randint(3, 7))]]) for k in range(12)] + [(12, None), (13, [[], [[2.0]]])]
+    want = {(x, y): max((k for k, parts in shapes[:12] if holds(x + 0.5, y + 0.5, parts[0])), default=-1) for x in range(12) for y in range(9)}
+    whole = spark.createDataFrame(shapes, SHAPE)
+    found = polygons.burned(cells(spark, 12, 9), polygons.spans(whole, "parts", (0, 0, 11, 8), touched=False), F.col("seq"), ["seq"], "last")
+    assert {(r.ix, r.iy): -1 if r.last is None else r.last for r in found.collect()} == want
+
+
+def test_burning_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        shapes = spark.createDataFrame([(k, [[[0.2, 0.2], [k % 7 + 0.5, 0.2], [k % 7 + 0.5, 1.5], [0.2, 1.5]]]) for k in range(20)], SHAPE)
+        found = polygons.burn_code(cells(spark, 9, 3), shapes, "seq", ["seq"])
+        want = {(x, y): max((k for k in range(20) if y < 2 and x <= k % 7), default=0) for x in range(9) for y in range(3)}
+        assert {(r.ix, r.iy): r.code for r in found.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -4,7 +4,7 @@ import pytest
 
 from tests.test_oracle import QUERIES
 
-BURNING = ("polygon_best",)
+BURNING = ("polygon_best", "polygon_centres")
 
 
 def plan_of(df):

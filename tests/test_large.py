@@ -4,7 +4,7 @@ import pytest
 
 from tests.test_oracle import QUERIES
 
-BURNING = ("polygon_best", "polygon_centres")
+BURNING = ("polygon_best", "polygon_centres", "polygon_mask")
 
 
 def plan_of(df):

@@ -4,7 +4,7 @@ import pytest
 
 from tests.test_oracle import QUERIES
 
-BURNING = ("polygon_best", "polygon_centres", "polygon_mask")
+BURNING = ("polygon_best", "polygon_centres", "polygon_mask", "polygon_max")
 
 
 def plan_of(df):

@@ -4,7 +4,7 @@ import pytest
 
 from tests.test_oracle import QUERIES
 
-BURNING = ("polygon_best", "polygon_centres", "polygon_mask", "polygon_max")
+BURNING = ("polygon_best", "polygon_centres", "polygon_mask", "polygon_max", "polygon_buffer")
 
 
 def plan_of(df):

@@ -1,10 +1,15 @@
 """What must hold whatever the size of the tables: seen from the plans, and from larger grids."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
+from terracell.operators import focal
 
 from tests.test_oracle import QUERIES
 
 BURNING = ("polygon_best", "polygon_centres", "polygon_mask", "polygon_max", "polygon_buffer")
+DISTANCES = ("contact_score",)
 
 
 def plan_of(df):
@@ -15,3 +20,29 @@ def plan_of(df):
 def test_runs_of_cells_are_never_broadcast(spark, sf, name):
     """A small table of shapes has any number of runs, which a broadcast would gather on the driver."""
     assert "Broadcast" not in plan_of(QUERIES[name](spark, sf))
+
+
+@pytest.mark.parametrize("name", DISTANCES)
+def test_no_window_is_read_anew_for_each_cell(spark, sf, name):
+    """A frame up to the end of a column takes time with the square of its length."""
+    assert "unboundedfollowing" not in plan_of(QUERIES[name](spark, sf)).lower()
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_nearest_of_ragged_rows(spark, batch):
+    rng = np.random.default_rng(batch)
+    cells = [(x, y, int(v) if v < 3 else None) for x in range(9) for y in range(11) if rng.random() < 0.8 for v in [rng.integers(20)]]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        df = spark.createDataFrame(cells, "ix int, iy int, v int")
+        got = {(r.ix, r.iy): (r.d2, r.value) for r in focal.nearest(df, F.col("v").isNotNull(), F.col("v")).collect()}
+        none = focal.nearest(df, F.col("v") > 90, F.col("v")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(cells) == len(none) and all(r.d2 is None and r.value is None for r in none)
+    columns = {x for x, _, v in cells if v is not None}
+    for x, y, _ in cells:
+        # a source counts in the rows of its own column that exist, so the search starts from these
+        seen = [min(((abs(b - y), b, v) for a, b, v in cells if a == c and v is not None)) + (c,) for c in columns if any((a, b) == (c, y) for a, b, _ in cells)]
+        best = min(((d * d + (c - x) ** 2, b, c, v) for d, b, v, c in seen), default=None)
+        assert got[x, y] == ((None, None) if best is None else (best[0], best[3]))

@@ -9,7 +9,7 @@ from terracell.operators import focal
 from tests.test_oracle import QUERIES
 
 BURNING = ("polygon_best", "polygon_centres", "polygon_mask", "polygon_max", "polygon_buffer")
-DISTANCES = ("contact_score", "edge_score")
+DISTANCES = ("contact_score", "edge_score", "fill_any_distance")
 
 
 def plan_of(df):

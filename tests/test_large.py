@@ -8,7 +8,7 @@ from terracell.operators import focal
 
 from tests.test_oracle import QUERIES
 
-BURNING = ("polygon_best", "polygon_centres", "polygon_mask", "polygon_max", "polygon_buffer")
+BURNING = ("polygon_best", "polygon_centres", "polygon_mask", "polygon_max", "polygon_buffer", "polygon_last")
 DISTANCES = ("contact_score", "edge_score", "fill_any_distance")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracell import fixed
@@ -69,28 +71,94 @@ def urban_mask(cells: DataFrame, areas: DataFrame, cell: float, kind: str = "urb
 
     Each type is burned on its own, loses the cells with too few of its kind in the box
     around, and grows over four neighbours by its buffer; a cell is built up if any type
-    reaches it. Only cells that areas touch are handled until then, whatever the number of
-    types. Types are compared in small letters; those without a buffer of their own, and
-    buildings, get ``buffer``.
+    reaches it. The runs of a tile and its halo go over a mask, type by type and in batches,
+    so memory depends neither on the number of areas nor on that of types. Types are compared
+    in small letters; those without a buffer of their own, and buildings, get ``buffer``.
     """
     extent = x0, y0, x1, y1 = polygons.extent_of(cells)
     named = areas.select("parts", F.coalesce(F.lower(kind), F.lit("")).alias("__t"))
-    hit = polygons.cells_in_shapes(cells.select("ix", "iy"), named, extent=extent).select("ix", "iy", "__t").distinct()
-    if dense:
-        size, least = density_limit(cell)
-        r = size // 2
-        beside = hit.select("__t", "ix", "iy", F.explode(F.sequence(F.lit(-r), F.lit(r))).alias("__dx"))
-        rows = beside.groupBy("__t", (F.col("ix") + F.col("__dx")).alias("ix"), "iy").agg(F.count("*").alias("__n"), F.max(F.col("__dx") == 0).alias("__own"))
-        around = F.sum("__n").over(Window.partitionBy("__t", "ix").orderBy("iy").rangeBetween(-r, r))
-        span = lambda c, a, b: F.least(F.col(c) + r, F.lit(b)) - F.greatest(F.col(c) - r, F.lit(a)) + 1
-        share = around / (span("ix", x0, x1) * span("iy", y0, y1))
-        hit = rows.withColumn("__d", share).where(F.col("__own") & (F.col("__d") * (size * size) >= least)).select("ix", "iy", "__t")
-    steps = {t: 0 if t in fixed.BUILDINGS else round(b / cell) for t, b in fixed.URBAN_BUFFERS.items()} | dict.fromkeys(fixed.BUILDINGS, round(buffer / cell))
-    width = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in steps.items() for x in kv]), F.col("__t")), F.lit(round(buffer / cell)))
-    up = hit.select("ix", "iy", F.explode(F.sequence(-width, width)).alias("__dy"), width.alias("__k"))
-    flat = F.col("__k") - F.abs("__dy")
-    grown = up.select((F.col("iy") + F.col("__dy")).alias("iy"), F.explode(F.sequence(F.col("ix") - flat, F.col("ix") + flat)).alias("ix")).distinct()
-    return cells.select("ix", "iy").join(grown.withColumn("urban", F.lit(True)), ["ix", "iy"], "left").withColumn("urban", F.coalesce("urban", F.lit(False)))
+    size, least = density_limit(cell)
+    r = size // 2 if dense else 0
+    other = round(buffer / cell)
+    steps = {t: 0 if t in fixed.BUILDINGS else round(b / cell) for t, b in fixed.URBAN_BUFFERS.items()} | dict.fromkeys(fixed.BUILDINGS, other)
+    halo, wide = r + max(other, *steps.values()), polygons.STRETCH
+    high = max(wide, 4 * halo)
+    keys = ["__ty", "__tx"]
+
+    def tiles(low: str, up: str, side: int, first: int, last: int) -> Column:
+        return F.explode(F.sequence(F.greatest(F.floor((F.col(low) - halo) / side), F.lit(first // side)), F.least(F.floor((F.col(up) + halo) / side), F.lit(last // side))))
+
+    found = polygons.spans(named, "parts", extent).select("__t", "iy", "x0", "x1")
+    there = cells.where("ix is not null and iy is not null").select(F.lit(None).cast("string").alias("__t"), F.col("iy").cast("long").alias("iy"), F.col("ix").cast("long").alias("x0"), F.col("ix").cast("long").alias("x1"))
+    placed = there.unionByName(found).withColumn("__ty", tiles("iy", "iy", high, y0, y1)).withColumn("__tx", tiles("x0", "x1", wide, x0, x1))
+    sorted_ = placed.repartition(*keys).sortWithinPartitions(*keys, "__t")  # the cells that exist come first
+
+    def kept(mask: np.ndarray, top: int, left: int) -> np.ndarray:
+        if not dense:
+            return mask
+        total = np.pad(mask.astype(np.int64).cumsum(0).cumsum(1), ((r + 1, r), (r + 1, r)), mode="edge")
+        total[: r + 1], total[:, : r + 1] = 0, 0
+        n = 2 * r + 1
+        around = total[n:, n:] - total[:-n, n:] - total[n:, :-n] + total[:-n, :-n]
+        y, x = np.arange(mask.shape[0]) + top, np.arange(mask.shape[1]) + left
+        span = lambda c, a, b: np.maximum(np.minimum(c + r, b) - np.maximum(c - r, a) + 1, 1)
+        return mask & (around / (span(y, y0, y1)[:, None] * span(x, x0, x1)) * (size * size) >= least)
+
+    def grown(mask: np.ndarray, by: int) -> np.ndarray:
+        for _ in range(by):
+            more = mask.copy()
+            more[1:] |= mask[:-1]
+            more[:-1] |= mask[1:]
+            more[:, 1:] |= mask[:, :-1]
+            more[:, :-1] |= mask[:, 1:]
+            mask = more
+        return mask
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = (high + 2 * halo, wide + 2 * halo)
+        now: tuple | None = None  # tile row, tile column, type
+        marks, exist, built = np.zeros((shape[0], shape[1] + 1), np.int64), np.zeros(shape, bool), np.zeros(shape, bool)
+
+        def close() -> None:
+            ty, tx, t = now
+            mask = marks.cumsum(axis=1)[:, :-1] > 0
+            if t is None:
+                exist[:] = mask
+            else:
+                built[:] |= grown(kept(mask & exist, ty * high - halo, tx * wide - halo), steps.get(t, other))
+            marks[:] = 0
+
+        def lists() -> pa.RecordBatch:
+            core = built[halo : halo + high, halo : halo + wide]
+            some = np.flatnonzero(core.any(axis=1))
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * wide), pa.array(core[some].ravel()))
+            return pa.RecordBatch.from_arrays([pa.array(some + now[0] * high), pa.array(np.full(len(some), now[1])), values], ["__poly_y", "__poly_s", "__poly_l"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ty, tx, y, a, b = (batch.column(c).to_numpy() for c in (*keys, "iy", "x0", "x1"))
+            types = batch.column("__t").dictionary_encode()
+            code = types.indices.fill_null(-1).to_numpy()
+            names = types.dictionary.to_pylist()
+            starts = np.flatnonzero(np.concatenate([[True], (ty[1:] != ty[:-1]) | (tx[1:] != tx[:-1]) | (code[1:] != code[:-1])]))
+            for i, j in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                own = (int(ty[i]), int(tx[i]), names[code[i]] if code[i] >= 0 else None)
+                if now is not None and own != now:
+                    close()
+                    if own[:2] != now[:2]:
+                        yield lists()
+                        exist[:], built[:] = False, False
+                now = own
+                row, left = y[i:j] - own[0] * high + halo, own[1] * wide - halo
+                np.add.at(marks, (row, np.clip(a[i:j] - left, 0, shape[1])), 1)
+                np.add.at(marks, (row, np.clip(b[i:j] - left + 1, 0, shape[1])), -1)
+        if now is not None:
+            close()
+            yield lists()
+
+    values = sorted_.select(*keys, "__t", "iy", "x0", "x1").mapInArrow(run, "__poly_y bigint, __poly_s bigint, __poly_l array<boolean>")
+    return polygons.looked_up(cells, values, "urban").withColumn("urban", F.coalesce("urban", F.lit(False)))
 
 
 def _landcover_kernel(values: np.ndarray, there: np.ndarray) -> np.ndarray:

@@ -5,10 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from terracell.operators import focal
-
 from tests.test_oracle import QUERIES
 
-BURNING = ("polygon_best", "polygon_centres", "polygon_mask", "polygon_max", "polygon_buffer", "polygon_last")
+BURNING = ("polygon_best", "polygon_centres", "polygon_mask", "polygon_max", "polygon_buffer", "polygon_last", "urban_mask")
 DISTANCES = ("contact_score", "edge_score", "fill_any_distance")
 
 

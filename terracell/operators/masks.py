@@ -75,7 +75,13 @@ def urban_mask(cells: DataFrame, areas: DataFrame, cell: float, kind: str = "urb
     so memory depends neither on the number of areas nor on that of types. Types are compared
     in small letters; those without a buffer of their own, and buildings, get ``buffer``.
     """
-    extent = x0, y0, x1, y1 = polygons.extent_of(cells)
+    values = urban_lists(cells, areas, polygons.extent_of(cells), cell, kind, buffer, dense)
+    return polygons.looked_up(cells, values, "urban").withColumn("urban", F.coalesce("urban", F.lit(False)))
+
+
+def urban_lists(cells: DataFrame, areas: DataFrame, extent: tuple[int, int, int, int], cell: float, kind: str = "urban_type", buffer: float = 10.0, dense: bool = True) -> DataFrame:
+    """The lists of :func:`urban_mask` by row and stretch of columns, for :func:`polygons.looked_up`."""
+    x0, y0, x1, y1 = extent
     named = areas.select("parts", F.coalesce(F.lower(kind), F.lit("")).alias("__t"))
     size, least = density_limit(cell)
     r = size // 2 if dense else 0
@@ -157,8 +163,7 @@ def urban_mask(cells: DataFrame, areas: DataFrame, cell: float, kind: str = "urb
             close()
             yield lists()
 
-    values = sorted_.select(*keys, "__t", "iy", "x0", "x1").mapInArrow(run, "__poly_y bigint, __poly_s bigint, __poly_l array<boolean>")
-    return polygons.looked_up(cells, values, "urban").withColumn("urban", F.coalesce("urban", F.lit(False)))
+    return sorted_.select(*keys, "__t", "iy", "x0", "x1").mapInArrow(run, "__poly_y bigint, __poly_s bigint, __poly_l array<boolean>")
 
 
 def _landcover_kernel(values: np.ndarray, there: np.ndarray) -> np.ndarray:

@@ -53,9 +53,12 @@ def fade(score: Column, cells_to_excluded: Column, buffer_m: float, cell: float)
 
 def dry_limestone(score: Column, applies: Column, roughness: Column, twi: Column) -> Column:
     """The score lowered on dry limestone, the more the rougher and drier; missing measures leave it."""
+    return F.when(F.coalesce(applies, F.lit(False)), score * dry_factor(roughness, twi)).otherwise(score)
+
+
+def dry_factor(roughness: Column, twi: Column) -> Column:
     drop = 0.4 * clip(roughness / 10) + 0.6 * clip((8 - twi) / 6)
-    factor = clip(1 - 0.5 * drop, 0.5)
-    return F.when(F.coalesce(applies, F.lit(False)), score * F.coalesce(factor, F.lit(1.0))).otherwise(score)
+    return F.coalesce(clip(1 - 0.5 * drop, 0.5), F.lit(1.0))
 
 
 def monotony(df: DataFrame, score: str, slope: str, altitude: str, out: str, excluded: str | None = None, radius: int = 50) -> DataFrame:
@@ -65,26 +68,41 @@ def monotony(df: DataFrame, score: str, slope: str, altitude: str, out: str, exc
     means of half the radius, in one pass over tiles; only where the spread stays under 15 m
     does flatness count. Excluded and missing scores stay. Missing altitudes count as 0.
     """
-    sigma = radius / 2.0
-    w = focal.gaussian_weights(sigma)
-    r = len(w) // 2
+    w = focal.gaussian_weights(radius / 2.0)
     ground = df.select("ix", "iy", (F.col(slope) < 8).cast("double").alias("__f"), F.col(altitude).alias("__z"))
-
-    def kernel(values: list[np.ndarray], there: np.ndarray) -> np.ndarray:
-        flat, z = map(np.nan_to_num, values)
-        layers = [flat, z, z * z]
-        for axis in (1, 0):
-            at = focal._edge_index(there, False, axis, r)
-            layers = [sum(w[k] * np.take(x, at[:, k], axis=axis) for k in range(len(w))) for x in layers]
-        share, mean, square = layers
-        return np.where(np.sqrt(np.maximum(square - mean**2, 0.0)) < 15.0, np.clip(share, 0.0, 1.0), 0.0)
-
-    even = focal.tiled(ground, ["__f", "__z"], r, kernel, "__m")
+    even = focal.tiled(ground, ["__f", "__z"], len(w) // 2, lambda values, there: _even(values, there, w), "__m")
     stays = F.coalesce(F.col(excluded), F.lit(False)) if excluded else F.lit(False)
     lowered = F.when(stays, F.col(score)).otherwise(F.col(score) * (1 - 0.15 * F.coalesce("__m", F.lit(0.0))))
     return df.join(even, ["ix", "iy"]).select("ix", "iy", lowered.alias(out))
 
 
+def _even(values: list[np.ndarray], there: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The share of flat cells around, 0 where the altitude spreads."""
+    flat, z = map(np.nan_to_num, values)
+    layers = [flat, z, z * z]
+    for axis in (1, 0):
+        at = focal._edge_index(there, False, axis, len(w) // 2)
+        layers = [sum(w[k] * np.take(x, at[:, k], axis=axis) for k in range(len(w))) for x in layers]
+    share, mean, square = layers
+    return np.where(np.sqrt(np.maximum(square - mean**2, 0.0)) < 15.0, np.clip(share, 0.0, 1.0), 0.0)
+
+
+def settled(df: DataFrame, score: str, slope: str, altitude: str, factor: Column, excluded: str, out: str, radius: int = 50, sigma: float = 2.0) -> DataFrame:
+    """``df`` with ``out``: the score lowered as by :func:`monotony`, times ``factor``, then smoothed over the cells not excluded.
+
+    All in one pass over tiles that takes the other columns along; excluded cells get what is
+    smoothed around them.
+    """
+    wide, near = focal.gaussian_weights(radius / 2.0), focal.gaussian_weights(sigma)
+
+    def kernel(values: list[np.ndarray], there: np.ndarray) -> np.ndarray:
+        flat, z, v, times = values
+        return focal.smoothed(v * (1 - 0.15 * _even([flat, z], there, wide)) * times, there, near)
+
+    layers = {"__f": (F.col(slope) < 8).cast("double"), "__z": F.col(altitude), "__v": F.when(~F.col(excluded), F.col(score)), "__t": factor}
+    return focal.tiled(df.withColumns(layers), list(layers), len(wide) // 2 + len(near) // 2, kernel, out, keep=df.columns)
+
+
 def hotspots(df: DataFrame, width: int, cell: float, threshold: float = 0.65, least: int = 4, limit: int | None = None) -> DataFrame:
     """The regions of high scores (see :func:`graph.region_stats`), the highest mean first where ``limit`` asks for the top.
 

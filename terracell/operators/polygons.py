@@ -199,12 +199,25 @@ def _stretched(cells: DataFrame) -> DataFrame:
 
 def looked_up(cells: DataFrame, values: DataFrame, out: str) -> DataFrame:
     """``ix, iy, out``: for all cells their place in the list ``__poly_l`` of their row and stretch; null where there is none."""
-    at = _stretched(cells.select("ix", "iy")).join(values.hint("merge"), ["__poly_y", "__poly_s"], "left")
-    return at.select("ix", "iy", F.get("__poly_l", (F.col("ix") - F.col("__poly_s") * STRETCH).cast("int")).alias(out))
+    return all_looked_up(cells.select("ix", "iy"), {out: values})
+
+
+def all_looked_up(cells: DataFrame, layers: dict[str, DataFrame]) -> DataFrame:
+    """``cells`` with a column for each layer of such lists; the cells are shuffled once for all."""
+    at = _stretched(cells)
+    for out, values in layers.items():
+        place = F.get("__poly_l", (F.col("ix") - F.col("__poly_s") * STRETCH).cast("int"))
+        at = at.join(values.hint("merge"), ["__poly_y", "__poly_s"], "left").select(*at.columns, place.alias(out))
+    return at.drop("__poly_y", "__poly_s")
 
 
 def burned(cells: DataFrame, found: DataFrame, value: Column, order: list[str], out: str) -> DataFrame:
-    """``ix, iy, out`` for all cells: of the runs ``found`` (see :func:`spans`) over a cell the value of the one last in ``order``, null where there is none.
+    """``ix, iy, out`` for all cells: of the runs ``found`` (see :func:`spans`) over a cell the value of the one last in ``order``, null where there is none."""
+    return looked_up(cells, lists_of(found, value, order), out)
+
+
+def lists_of(found: DataFrame, value: Column, order: list[str]) -> DataFrame:
+    """The lists that :func:`looked_up` takes, of the value of the run last in ``order`` over each cell.
 
     The runs of a stretch of a row go over its cells one after the other, in batches.
     """
@@ -243,7 +256,7 @@ def burned(cells: DataFrame, found: DataFrame, value: Column, order: list[str],
         if held is not None:
             yield lists(np.array([held[0]]), np.array([held[1]]), held[2])
 
-    return looked_up(cells, runs_.mapInArrow(run, f"__poly_y bigint, __poly_s bigint, __poly_l array<{kind}>"), out)
+    return runs_.mapInArrow(run, f"__poly_y bigint, __poly_s bigint, __poly_l array<{kind}>")
 
 
 def _over(cells: DataFrame, shapes: DataFrame, parts: str, touched: bool, reach: float) -> DataFrame:

@@ -87,7 +87,7 @@ def _even(values: list[np.ndarray], there: np.ndarray, w: np.ndarray) -> np.ndar
     return np.where(np.sqrt(np.maximum(square - mean**2, 0.0)) < 15.0, np.clip(share, 0.0, 1.0), 0.0)
 
 
-def settled(df: DataFrame, score: str, slope: str, altitude: str, factor: Column, excluded: str, out: str, radius: int = 50, sigma: float = 2.0) -> DataFrame:
+def settled(df: DataFrame, score: str, slope: str, altitude: str, factor: Column, excluded: str, out: str, radius: int = 50, sigma: float = 2.0, extent: tuple[int, int, int, int] | None = None) -> DataFrame:
     """``df`` with ``out``: the score lowered as by :func:`monotony`, times ``factor``, then smoothed over the cells not excluded.
 
     All in one pass over tiles that takes the other columns along; excluded cells get what is
@@ -100,7 +100,7 @@ def settled(df: DataFrame, score: str, slope: str, altitude: str, factor: Column
         return focal.smoothed(v * (1 - 0.15 * _even([flat, z], there, wide)) * times, there, near)
 
     layers = {"__f": (F.col(slope) < 8).cast("double"), "__z": F.col(altitude), "__v": F.when(~F.col(excluded), F.col(score)), "__t": factor}
-    return focal.tiled(df.withColumns(layers), list(layers), len(wide) // 2 + len(near) // 2, kernel, out, keep=df.columns)
+    return focal.tiled(df.withColumns(layers), list(layers), len(wide) // 2 + len(near) // 2, kernel, out, keep=df.columns, extent=extent)
 
 
 def hotspots(df: DataFrame, width: int, cell: float, threshold: float = 0.65, least: int = 4, limit: int | None = None) -> DataFrame:
